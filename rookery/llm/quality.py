@@ -1,8 +1,8 @@
 """Quality rules as weak supervision: rules vote or abstain, expectation-maximisation estimates how accurate each is, and the
 posterior probability of good quality decides. DataFrame and SQL functions only.
 
-A rule votes 1 (good), -1 (bad) or 0 (abstains). The model is a mixture of two classes in which the rules that vote are independent:
-rule j votes good with probability a_j on good documents and bad with probability b_j on bad ones. Documents with the same votes are
+A rule votes 1 (good), -1 (bad) or 0 (abstains). The model is a mixture of two classes in which the rules are independent: for each class
+it has the probabilities that a rule votes bad, abstains or votes good there. Documents with the same votes are
 alike, so EM runs on the counts of the vote patterns: at most 3 ** rules of them, whatever the number of documents.
 """
 
@@ -21,24 +21,27 @@ WINDOW = 8
 
 #: name -> (condition of a bad vote, condition of a good vote), over the columns of features(); otherwise the rule abstains.
 RULES = {
-    "length": ("n_words < 20", "n_words >= 40"),
-    "word_length": ("word_chars < 2.0 * n_words or word_chars > 15.0 * n_words", "word_chars between 3.0 * n_words and 11.0 * n_words and n_words > 0"),
-    "symbols": ("n_symbols > 0.25 * n_words", "n_symbols <= 0.05 * n_words"),
-    "repeated_lines": ("n_dup_lines > 0.3 * n_lines", "n_dup_lines <= 0.1 * n_lines and n_lines >= 2"),
-    "repeated_words": ("n_repeat_words > 0.2 * n_words", "n_repeat_words <= 0.05 * n_words and n_words >= 20"),
-    "capitals": ("n_upper > 0.4 * n_letters", "n_upper <= 0.2 * n_letters and n_letters > 0"),
-    "exclamation": ("n_exclaim > 0.2 * n_words", "n_exclaim <= 0.05 * n_words and n_words >= 20"),
-    "sentences": ("n_stops < 0.01 * n_words and n_words >= 100", "n_stops >= 0.03 * n_words and n_words >= 20"),
+    "length": ("n_words < 20", "false"),
+    "word_length": ("word_chars < 2.0 * n_words or word_chars > 15.0 * n_words", "false"),
+    "symbols": ("n_symbols > 0.25 * n_words", "n_symbols <= 0.02 * n_words and n_words >= 20"),
+    "marks": ("n_marks > 0.2 * n_words", "false"),
+    "letters": ("n_letters < 0.75 * word_chars", "n_letters >= 0.92 * word_chars and n_words >= 20"),
+    "repeated_lines": ("n_dup_lines > 0.3 * n_lines", "false"),
+    "repeated_words": ("n_repeat_words > 0.2 * n_words", "false"),
+    "stutter": ("n_stutter > 0.3 * n_words", "false"),
+    "capitals": ("n_upper > 0.4 * n_letters and n_words >= 10", "n_upper <= 0.2 * n_letters and n_letters > 0"),
+    "exclamation": ("n_exclaim > 0.2 * n_words", "false"),
+    "sentences": ("n_stops < 0.01 * n_words and n_words >= 100", "n_stops between 0.03 * n_words and 0.4 * n_words and n_symbols <= 0.05 * n_words"),
 }
 
 
 @dataclass(frozen=True)
 class Model:
-    """prior of good quality; for each rule the probabilities of a right vote on good and on bad documents."""
+    """prior of good quality; for each rule the probabilities of votes -1, 0 and 1 on good and on bad documents."""
 
     prior: float
-    right_good: tuple[float, ...]
-    right_bad: tuple[float, ...]
+    good: tuple[tuple[float, float, float], ...]
+    bad: tuple[tuple[float, float, float], ...]
 
 
 def _materialised(df: DataFrame, keep: list[str], **exprs: Column) -> DataFrame:
@@ -61,6 +64,7 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         ["doc_id", "text"],
         n_words=F.size("words").cast("long"),
         word_chars=F.length(F.array_join("words", "")).cast("long"),
+        n_stutter=F.size(F.filter(F.zip_with("words", F.slice("words", 2, F.greatest(F.size("words"), F.lit(1))), lambda a, b: a == b), lambda e: e)).cast("long"),
         hashes=F.transform("words", lambda w: F.xxhash64(w)),
         lines=lines,
     )
@@ -68,17 +72,18 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     places = F.sequence(F.lit(1), F.greatest(F.size("hashes") - (WINDOW - 1), F.lit(1)))
     rows = _materialised(
         rows,
-        ["doc_id", "n_words", "word_chars"],
+        ["doc_id", "n_words", "word_chars", "n_stutter"],
         n_symbols=count(r"[#*$%&|<>]"),
         n_lines=F.size("lines").cast("long"),
         n_dup_lines=(F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"),
         n_upper=count(r"\p{Lu}"),
         n_letters=count(r"\p{L}"),
         n_exclaim=count("!"),
+        n_marks=count(r"[#*$%&|<>]{2,}|(?<![^\x20\x09-\x0D])[#*$%&|<>](?![^\x20\x09-\x0D])"),
         n_stops=count(r"[.!?。！？](?=[\x20\x09-\x0D]|$)"),
         windows=F.when(F.col("n_words") >= WINDOW, F.transform(places, lambda i: F.xxhash64(F.slice("hashes", i, WINDOW)))).otherwise(F.array().cast("array<bigint>")),
     )
-    counted = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_upper", "n_letters", "n_exclaim", "n_stops"]
+    counted = ["n_words", "word_chars", "n_stutter", "n_symbols", "n_lines", "n_dup_lines", "n_upper", "n_letters", "n_exclaim", "n_marks", "n_stops"]
     twice = F.size("windows") > F.size(F.array_distinct("windows"))
     rows = _materialised(rows, ["doc_id", *counted], placed=F.when(twice, F.sort_array(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
     equal = F.zip_with(F.slice("placed", 1, F.greatest(F.size("placed") - 1, F.lit(0))), F.slice("placed", 2, F.greatest(F.size("placed") - 1, F.lit(0))), lambda a, b: a["h"] == b["h"])
@@ -96,42 +101,40 @@ def votes(rows: DataFrame, rules: dict[str, tuple[str, str]] = RULES) -> DataFra
     return rows.select("*", *(vote(*pair).alias(f"v_{name}") for name, pair in rules.items()))
 
 
-def _log_odds(model: Model, names: list[str]) -> Column:
-    total = F.lit(math.log(model.prior) - math.log1p(-model.prior))
-    for name, a, b in zip(names, model.right_good, model.right_bad, strict=True):
-        v = F.col(f"v_{name}")
-        total = total + F.when(v == 1, F.lit(math.log(a) - math.log1p(-b))).when(v == -1, F.lit(math.log1p(-a) - math.log(b))).otherwise(F.lit(0.0))
-    return total
+def _weights(model: Model) -> list[tuple[float, float, float]]:
+    """Log-odds of each rule's votes; a vote never speaks against what it says."""
+    out = []
+    for good, bad in zip(model.good, model.bad, strict=True):
+        w = [math.log(g) - math.log(b) for g, b in zip(good, bad, strict=True)]
+        out.append((min(w[0], 0.0), w[1], max(w[2], 0.0)))
+    return out
 
 
 def posterior(model: Model, names: list[str]) -> Column:
     """Probability of good quality given the votes."""
-    return F.lit(1.0) / (F.lit(1.0) + F.exp(-_log_odds(model, names)))
+    total = F.lit(math.log(model.prior) - math.log1p(-model.prior))
+    for name, (bad, none, good) in zip(names, _weights(model), strict=True):
+        v = F.col(f"v_{name}")
+        total = total + F.when(v == -1, F.lit(bad)).when(v == 1, F.lit(good)).otherwise(F.lit(none))
+    return F.lit(1.0) / (F.lit(1.0) + F.exp(-total))
 
 
 def fit(voted: DataFrame, names: list[str], rounds: int = 15, weight: float = 20.0) -> Model:
-    """Estimate the model from all rows. weight: documents that each start value counts as, so that small or empty tables are defined.
+    """Estimate the model from all rows. weight: documents that the start values count as, so that small or empty tables are defined.
 
-    Accuracies stay within 0.55 and 0.99 and the prior within 0.05 and 0.95: a rule is never taken for worse than chance, so that the classes can't swap.
+    The prior stays within 0.05 and 0.95, and no vote is taken as evidence against what it says, so the classes can't swap.
     """
     patterns = cut(voted.groupBy(*(f"v_{n}" for n in names)).agg(F.count(F.lit(1)).alias("n")).coalesce(1), "patterns")
-    model = Model(0.8, (0.9,) * len(names), (0.7,) * len(names))
-    start = model
-    within = lambda x, low, high: min(max(x, low), high)
+    start = model = Model(0.85, ((0.02, 0.38, 0.6),) * len(names), ((0.4, 0.4, 0.2),) * len(names))
     for _ in range(rounds):
-        good = F.col("n") * F.col("p")
-        bad = F.col("n") * (1 - F.col("p"))
+        good, bad = F.col("n") * F.col("p"), F.col("n") * (1 - F.col("p"))
         sums = [F.sum(good).alias("g"), F.sum(bad).alias("b")]
         for n in names:
-            v = F.col(f"v_{n}")
-            sums += [F.sum(F.when(v == 1, good)).alias(f"gg_{n}"), F.sum(F.when(v != 0, good)).alias(f"g_{n}"), F.sum(F.when(v == -1, bad)).alias(f"bb_{n}"), F.sum(F.when(v != 0, bad)).alias(f"b_{n}")]
+            sums += [F.sum(F.when(F.col(f"v_{n}") == v, x)).alias(f"{c}_{n}_{v}") for v in (-1, 0, 1) for c, x in (("g", good), ("b", bad))]
         s = {k: x or 0.0 for k, x in patterns.withColumn("p", posterior(model, names)).agg(*sums).first().asDict().items()}
-        rate = lambda hit, all_, first: within((hit + weight * first) / (all_ + weight), 0.55, 0.99)
-        model = Model(
-            within((s["g"] + weight * start.prior) / (s["g"] + s["b"] + weight), 0.05, 0.95),
-            tuple(rate(s[f"gg_{n}"], s[f"g_{n}"], a) for n, a in zip(names, start.right_good, strict=True)),
-            tuple(rate(s[f"bb_{n}"], s[f"b_{n}"], b) for n, b in zip(names, start.right_bad, strict=True)),
-        )
+        rates = lambda c, first: tuple(tuple((s[f"{c}_{n}_{v}"] + weight * p) / (s[c] + weight) for v, p in zip((-1, 0, 1), f, strict=True)) for n, f in zip(names, first, strict=True))
+        prior = (s["g"] + weight * start.prior) / (s["g"] + s["b"] + weight)
+        model = Model(min(max(prior, 0.05), 0.95), rates("g", start.good), rates("b", start.bad))
     return model
 
 
