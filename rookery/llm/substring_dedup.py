@@ -9,9 +9,11 @@ lines form components; in each, all but the first occurrence (by document id and
 removed blocks count from `passage` words on. With 6 bands of 3 a pair of lines at similarity 0.8 shares a key with probability 0.986,
 at 0.9 with 0.9996.
 
-Within a key each line is compared with two pivots, the least and the greatest; what that joins is one component. Only lines of one
-key that are still in different components are then compared pair by pair, so a group of near copies costs a linear number of
-comparisons, and no link is left out.
+Within a key each line is compared with two pivots, the least and the greatest; what that joins is one component. Lines of one key that
+are still in different components are then compared pair by pair, where the key has at most CROWD members. Members of larger ones
+(families of lines that resemble each other less than the threshold) get keys of their own, FINE_BANDS of FINE_ROWS values, under
+which the unlike part: a pair at 0.85 shares one of these with probability 0.998, at 0.6 with 0.08. So a group of near copies costs a
+linear number of comparisons.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ from rookery.llm.common import cut, narrow
 from rookery.llm.components import connected_components
 
 SHINGLE, SIMILARITY, LEAST, WINDOW, PASSAGE, BANDS, ROWS = 5, 0.8, 20, 20, 16, 6, 3
+#: Members of a key of lines that are compared pair by pair, and the bands and rows of the keys for lines of larger keys.
+CROWD, FINE_BANDS, FINE_ROWS = 24, 40, 12
 WORD = re.compile(r"\S+")
 _DICE = np.random.default_rng(7)
 _ODD = _DICE.integers(1 << 62, (1 << 63) - 1, 128, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -89,19 +93,19 @@ def paragraphs(text: str, least: int = LEAST, window: int = WINDOW, bands: int =
             for j in range(1, SHINGLE):
                 shingles += hashed[j : n - SHINGLE + 1 + j] * _ODD[j + 1]
             shingles = _mixed(shingles)
+            cuts = np.stack([line_start[long], line_end[long] - SHINGLE + 1], 1).ravel()
+            padded = np.append(shingles, np.uint64(0))
+            step = max(1, 200_000 // len(padded))
             least_of = np.empty((bands * rows, long.sum()), np.uint64)
-            a, b = line_start[long], line_end[long] - SHINGLE + 1
-            cuts = np.stack([a, b], 1).ravel()
-            padded = np.empty(len(shingles) + 1, np.uint64)
-            for k in range(bands * rows):
-                padded[:-1] = shingles * _ODD[16 + k] + _ADD[k]
-                padded[-1] = _TOP
-                least_of[k] = np.minimum.reduceat(padded, cuts)[::2]
-            for band in range(bands):
-                key = np.full(long.sum(), _ADD[64 + band])
-                for r in range(rows):
-                    key = _mixed(key * _ODD[100] + least_of[band * rows + r])
-                found.append(key)
+            for k in range(0, bands * rows, step):
+                ordered = padded * _ODD[16 + k : 16 + min(k + step, bands * rows), None] + _ADD[k : min(k + step, bands * rows), None]
+                ordered[:, -1] = _TOP
+                least_of[k : k + step] = np.minimum.reduceat(ordered, cuts, axis=1)[:, ::2]
+            least_of = least_of.reshape(bands, rows, -1)
+            key = np.repeat(_ADD[64 : 64 + bands, None], long.sum(), axis=1)
+            for r in range(rows):
+                key = _mixed(key * _ODD[100] + least_of[:, r])
+            found.extend(key)
     return words, kinds, np.concatenate([starts, line_start[long]]), np.concatenate([ends, line_end[long]]), found
 
 
@@ -110,6 +114,16 @@ def _unit(text_hash: int, index: np.ndarray, kinds: np.ndarray) -> np.ndarray:
     return (np.int64((text_hash & 0x7FFF) << 40) + index.astype(np.int64)) * 2 + kinds
 
 
+def _word_places(text: str, words: list[str]) -> tuple[list[int], list[int]]:
+    """Where each word starts and ends in the text, in code points."""
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    if len(text) == sizes.sum() + len(words) - 1 and "\u0130" not in text:  # single separators; only that letter changes length in lower case
+        last = np.cumsum(sizes + 1) - 1
+        return (last - sizes).tolist(), last.tolist()
+    found = [m.span() for m in WORD.finditer(text)]
+    return [a for a, _ in found], [b for _, b in found]
+
+
 def _keys(docs: DataFrame, least: int, window: int, bands: int, rows: int) -> DataFrame:
     """key, doc_id, unit of every paragraph."""
 
@@ -141,11 +155,11 @@ def _texts(docs: DataFrame, wanted: DataFrame, least: int, window: int) -> DataF
                 if not units:
                     continue
                 words, _, starts, ends, _ = paragraphs(text, least, window, keys=False)
-                spans = [m.span() for m in WORD.finditer(text)]
+                first, last = _word_places(text, words)
                 for u in units:
                     i = u >> 1 & (1 << 40) - 1
                     a, b = int(starts[i]), int(ends[i])
-                    for column, x in zip(out, (doc_id, u, a, b, spans[a][0], spans[b - 1][1], " ".join(words[a:b])), strict=True):
+                    for column, x in zip(out, (doc_id, u, a, b, first[a], last[b - 1], " ".join(words[a:b])), strict=True):
                         column.append(x)
             kinds = [batch.schema.field("doc_id").type, pa.int64(), *[pa.int32()] * 4, pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], ["doc_id", "unit", "a", "b", "start", "end", "text"])
@@ -172,6 +186,34 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
     return pairs.distinct().join(one, "src").join(two, "dst").where(similar("a", "b") >= similarity).select("src", "dst")
 
 
+def _fine_keys(lines: DataFrame, bands: int = FINE_BANDS, rows: int = FINE_ROWS) -> DataFrame:
+    """key, node, root of (node, text, root): more and longer keys than _keys gives."""
+
+    @F.pandas_udf("array<long>")
+    def keys(texts: pd.Series) -> pd.Series:
+        out = []
+        for text in texts:
+            hashed = word_hashes(text.split(" "))
+            shingles = hashed[: len(hashed) - SHINGLE + 1].copy()
+            for j in range(1, SHINGLE):
+                shingles += hashed[j : len(hashed) - SHINGLE + 1 + j] * _ODD[j + 1]
+            shingles = np.unique(_mixed(shingles))
+            key = _mixed(np.arange(bands, dtype=np.uint64) + np.uint64(1 << 40))
+            for r in range(rows):
+                least = np.array([_mixed(shingles ^ _mixed(np.array([band * rows + r + 1], np.uint64) * _ODD[101])).min() for band in range(bands)])
+                key = _mixed(key * _ODD[100] + least)
+            out.append(key.view(np.int64))
+        return pd.Series(out, dtype=object)
+
+    return lines.select("node", "root", F.explode(keys("text")).alias("key"))
+
+
+def _pairs_apart(placed: DataFrame) -> DataFrame:
+    """All pairs (src, dst) of nodes that share a key but no root."""
+    one, two = placed.select("key", F.col("node").alias("src"), F.col("root").alias("r")), placed.select("key", F.col("node").alias("dst"), F.col("root").alias("s"))
+    return one.join(two, "key").where("src < dst and r <> s").select("src", "dst")
+
+
 def _line_links(members: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """(node, root) of the distinct lines that links connect; members: (key, node)."""
     ends = members.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
@@ -180,11 +222,14 @@ def _line_links(members: DataFrame, texts: DataFrame, similarity: float) -> Data
     links = cut(_verified(pairs, texts, similarity), "links")
     roots = cut(connected_components(links), "roots")
     placed = cut(members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "placed")
-    mixed = placed.groupBy("key").agg(F.min("root").alias("one"), F.max("root").alias("other")).where("one <> other").select("key")
+    mixed = placed.groupBy("key").agg(F.min("root").alias("one"), F.max("root").alias("other"), F.count(F.lit(1)).alias("n")).where("one <> other").select("key", "n")
     apart = placed.join(mixed, "key")
-    low = ends.select("key", "low", "high")
-    rest = apart.join(low, "key").where("node <> low and node <> high")
-    pairs = rest.select("key", F.col("node").alias("src"), F.col("root").alias("r")).join(rest.select("key", F.col("node").alias("dst"), F.col("root").alias("s")), "key").where("src < dst and r <> s").select("src", "dst")
+    crowd = apart.where(F.col("n") > CROWD).select("node", "root").distinct()
+    fine = cut(_fine_keys(crowd.join(texts, "node")), "fine")
+    sizes = fine.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("one"), F.max("root").alias("other"), F.min("node").alias("low")).where("one <> other").select("key", "n", "low")
+    fine = fine.join(sizes, "key")
+    pairs = _pairs_apart(apart.where(F.col("n") <= CROWD)).union(_pairs_apart(fine.where(F.col("n") <= CROWD)))
+    pairs = pairs.union(fine.where((F.col("n") > CROWD) & (F.col("node") != F.col("low"))).select(F.col("low").alias("src"), F.col("node").alias("dst")))
     return connected_components(links.union(_verified(pairs, texts, similarity)))
 
 
