@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rookery.llm.common import cut, narrow
+from rookery.llm.common import cut, drop, narrow
 from rookery.llm.components import connected_components
 
 SHINGLE, SIMILARITY, LEAST, WINDOW, PASSAGE, BANDS, ROWS = 5, 0.8, 20, 20, 16, 6, 3
@@ -189,6 +189,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
 def _fine_keys(lines: DataFrame, bands: int = FINE_BANDS, rows: int = FINE_ROWS) -> DataFrame:
     """key, node, root of (node, text, root): more and longer keys than _keys gives."""
 
+    factors = np.random.default_rng(11).integers(1 << 62, (1 << 63) - 1, (rows, bands), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
     @F.pandas_udf("array<long>")
     def keys(texts: pd.Series) -> pd.Series:
         out = []
@@ -200,8 +202,11 @@ def _fine_keys(lines: DataFrame, bands: int = FINE_BANDS, rows: int = FINE_ROWS)
             shingles = np.unique(_mixed(shingles))
             key = _mixed(np.arange(bands, dtype=np.uint64) + np.uint64(1 << 40))
             for r in range(rows):
-                least = np.array([_mixed(shingles ^ _mixed(np.array([band * rows + r + 1], np.uint64) * _ODD[101])).min() for band in range(bands)])
-                key = _mixed(key * _ODD[100] + least)
+                least = np.array([np.full(bands, _TOP)])
+                for k in range(0, len(shingles), 4096):
+                    block = shingles[k : k + 4096] * factors[r, :, None]
+                    least = np.minimum(least, (block ^ (block >> np.uint64(31))).min(1))
+                key = _mixed(key * _ODD[100] + least[0])
             out.append(key.view(np.int64))
         return pd.Series(out, dtype=object)
 
@@ -244,6 +249,7 @@ def repeated_passages(docs: DataFrame, similarity: float = SIMILARITY, least: in
     keys = cut(_keys(docs, least, window, bands, rows), "keys")
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     found = cut(keys.join(shared, "key").distinct(), "found")
+    drop(keys)
     units = cut(_texts(docs, found.select("doc_id", "unit"), least, window).dropDuplicates(["doc_id", "unit"]), "units")
     place = F.struct("doc_id", "unit")
     kind = F.col("unit").bitwiseAND(F.lit(1))

@@ -35,7 +35,8 @@ def tok():
     return t
 
 
-VALUES = ChunkValues(P.PATTERN, library_encoder(TOKENIZER), b"".join)
+ENCODE, ENCODE_RUN = library_encoder(TOKENIZER)
+VALUES = ChunkValues(P.PATTERN, ENCODE, b"".join, encode_run=ENCODE_RUN)
 ALPHABET = st.sampled_from([*" \n\t\r\x0b\x1c\x85\xa0", "  ", "\n\n", " \n", "a", "Bc", "'s", "1", ".", "é", "中", "　", "▁"])
 
 
@@ -68,7 +69,7 @@ def test_codec_edges(odd, none, tik, ranks):
 def slow_count(word: bytes, scores: dict) -> int:
     best = [(0.0, 0)]
     for end in range(1, len(word) + 1):
-        best.append(max(((best[a][0] + scores[word[a:end]], -(-best[a][1] + 1)) for a in range(end) if word[a:end] in scores), default=(-math.inf, 0)))
+        best.append(max(((best[a][0] + scores[word[a:end]], -(best[a][1] + 1)) for a in range(end) if word[a:end] in scores), default=(-math.inf, 0)))
         best[-1] = (best[-1][0], -best[-1][1])
     return best[-1][1]
 
