@@ -53,7 +53,7 @@ def jdbc_backend(url: Column) -> Column:
     head = lambda s, stop: F.get(F.split(s, stop), 0)
     oracle = (kind == "oracle") & rest.contains("@")
     authority = F.when(oracle, head(F.regexp_replace(last_at(rest), "^//", ""), "[/?;]")).when(rest.startswith("//"), last_at(head(F.regexp_replace(rest, "^//", ""), "[/?;]")))
-    hosts = F.array_join(F.transform(F.regexp_extract_all(authority, F.lit(r"(?:\$\{[^}]*\}|\[[^\]]*\]|[^,])+"), F.lit(0)), F.trim), ", ")
+    hosts = F.array_join(F.transform(F.regexp_extract_all(authority, F.lit(r"(?:\$\{[^}]*\}|\[[^\]]*\]|[^,])+"), F.lit(0)), lambda x: F.trim(x)), ", ")
     local = head(rest, "[;?]")
     target = F.when(authority.isNotNull() & (authority != ""), hosts).otherwise(F.when(local == "", "(unspecified)").otherwise(local))
     return F.when(url.rlike(r"(?i)^jdbc:[a-z0-9]+:"), F.struct(kind.alias("kind"), target.alias("target")))
@@ -82,7 +82,7 @@ def _shortcuts(rows: DataFrame, by: list[str]) -> DataFrame:
         F.min_by(F.when(F.col("field") == "name", F.col("value")), F.when(F.col("field") == "name", F.col("ord"))).alias("name"),
         F.transform(F.array_sort(F.collect_list(F.when(F.col("field").startswith("args"), F.struct("ord", "shown")))), lambda x: x["shown"]).alias("args"),
     )
-    pieces = F.transform(F.split(F.regexp_replace("direct", "^[^=]*=", ""), ","), F.trim)
+    pieces = F.transform(F.split(F.regexp_replace("direct", "^[^=]*=", ""), ","), lambda x: F.trim(x))
     direct = F.when(F.col("direct").rlike("^[^=]+="), F.concat(F.regexp_extract("direct", "^([^=]+)=", 1), F.lit("="), F.array_join(redact_route_args(pieces), ","))).otherwise(F.col("direct"))
     mapped = F.concat("name", F.when(F.size("args") > 0, F.concat(F.lit("("), F.array_join(redact_route_args(F.col("args")), ", "), F.lit(")"))).otherwise(""))
     return items.select(*by, F.col("i").alias("ord"), F.coalesce(direct, mapped, F.lit("")).alias("text")).where("text <> ''")
