@@ -3,7 +3,7 @@
 A rolling hash over the hashes of the last lines of a document chooses where a chunk of lines ends, so inserted or missing lines move no
 boundary but the nearest. Chunks of several lines that occur more than once in the corpus stay where they come first, by document id and
 place, and go everywhere else, once their bytes prove equal: grouping the hashed-alike chunks by their very text is the comparison, and it
-collapses copies before the shuffle.
+collapses copies before the shuffle. What is joined with the documents grows with them, so it is never broadcast, however small it starts.
 """
 
 from __future__ import annotations
@@ -82,7 +82,7 @@ def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     listed = marks.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("first", "until", "h1", "h2", "kept")).alias("spans"))
     rows = narrow(docs, id=id_col, text=text_col)
-    texts = rows.join(listed, (rows["id"] == listed["doc_id"]) & (F.xxhash64(rows["text"]) == listed["text_hash"])).select("doc_id", "text_hash", "spans", cut_out("text", "spans").alias("texts"))
+    texts = rows.join(listed.hint("merge"), (rows["id"] == listed["doc_id"]) & (F.xxhash64(rows["text"]) == listed["text_hash"])).select("doc_id", "text_hash", "spans", cut_out("text", "spans").alias("texts"))
     each = texts.select("doc_id", "text_hash", F.explode(F.arrays_zip("spans", "texts")).alias("x")).select("doc_id", "text_hash", "x.spans.*", F.col("x.texts").alias("text"))
     own = each.groupBy("h1", "h2", "text").agg(F.min(F.struct("doc_id", "first", "text_hash")).alias("own"), F.min("kept").alias("kept"))
     false = own.where("own <> kept").select("own.doc_id", "own.first", "own.text_hash")
@@ -109,7 +109,7 @@ def remove_chunks(docs: DataFrame, removed: DataFrame, id_col: str = "doc_id", t
         return pd.Series(out, dtype=object)
 
     spans = removed.groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.collect_list(F.struct("first", "until")).alias("__spans"))
-    both = docs.join(spans, (col(docs, id_col) == spans["__id"]) & (F.xxhash64(col(docs, text_col)) == spans["__hash"]), "left")
+    both = docs.join(spans.hint("merge"), (col(docs, id_col) == spans["__id"]) & (F.xxhash64(col(docs, text_col)) == spans["__hash"]), "left")
     text = F.coalesce(without(F.when(F.col("__spans").isNotNull(), col(docs, text_col)), F.col("__spans")), col(docs, text_col))
     count = [F.coalesce(F.aggregate("__spans", F.lit(0), lambda s, x: s + x["until"] - x["first"]), F.lit(0)).cast("long").alias(count_col)] if count_col else []
     return both.select(*((text if c == text_col else col(docs, c)).alias(c) for c in docs.columns), *count)
