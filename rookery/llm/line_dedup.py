@@ -69,6 +69,7 @@ def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """doc_id, text_hash, first, until, kept_doc_id, kept_first: the chunks to remove and where each one's equal stays."""
     chunks = cut(line_chunks(docs, id_col, text_col), "chunks")
     groups = chunks.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "first", "text_hash")).alias("kept")).where("n > 1").select("h1", "h2", "kept")
+    groups = cut(groups, "groups")  # so that the join's large partitions can be split
     marks = cut(chunks.join(groups, ["h1", "h2"]), "marks")
 
     # Byte comparison: the chunks' texts, grouped by hash and text. A text of its own in a group keeps its own first place.
