@@ -107,4 +107,4 @@ def keep_first(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> Dat
     from rookery.llm.common import col
 
     heads = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__head")).distinct()
-    return docs.join(heads, col(docs, id_col).eqNullSafe(heads["__head"]), "left_semi")
+    return docs.join(heads.hint("merge"), col(docs, id_col).eqNullSafe(heads["__head"]), "left_semi")
