@@ -1,4 +1,7 @@
-"""From raw documents to packed sequences: five operators, one after another, each on what its predecessor kept."""
+"""From raw documents to packed sequences: five operators, one after another, each on what its predecessor kept.
+
+What is joined with the documents grows with them and is never broadcast.
+"""
 
 from __future__ import annotations
 
@@ -11,7 +14,7 @@ from rookery.llm.common import col, cut
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules keep; rows that share an id are kept if one of them is."""
-    kept = quality.judge(docs).where("kept").selectExpr("doc_id as __kept").distinct()
+    kept = quality.judge(docs).where("kept").selectExpr("doc_id as __kept").distinct().hint("merge")
     return docs.join(kept, col(docs, "doc_id").eqNullSafe(kept["__kept"]), "left_semi")
 
 
