@@ -1,11 +1,13 @@
 """Every query with SQL gives DuckDB's rows."""
 
+import os
+
 import duckdb
 import pytest
 
 import __spark_entry__ as entry
 
-SF = "/root/testdata/sf0.001"
+SF = os.environ.get("SQL_SF_DIR", "/root/testdata/sf0.001")
 
 
 def rounded(x):
