@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from rookery.llm.chunks import BLOCK, library_values, packed
-from rookery.llm.common import narrow, runs
+from rookery.llm.chunks import library_ids
+from rookery.llm.common import cut, narrow
 
 OPTIONS = {"compression": "zstd", "orc.stripe.size": str(16 << 20), "orc.create.index": "true", "orc.row.index.stride": "1000", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01"}
 
@@ -36,13 +36,11 @@ def write_token_ids(docs: DataFrame, path: str, tokenizer_path: str, pattern: st
     def encoded(batches):
         from pyspark import TaskContext
 
-        values, end = library_values(tokenizer_path, pattern), packed([end_id])
+        library = library_ids(tokenizer_path, pattern)
         part, row = TaskContext.get().partitionId(), 0
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            for a, b in runs([len(t) for t in texts], BLOCK):
-                ids = [i + end for i in values.values(texts[a:b])]
-                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(i) // 4 for i in ids)]), pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<i4")))
+            for a, b, offsets, ids in library.blocks(batch.column("text"), end_id):
+                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids.view("<i4")))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(b - a, part, np.int32)), pa.array(np.arange(row, row + b - a)), batch.column("doc_id").slice(a, b - a), lists], ["part", "row", "doc_id", "ids"])
                 row += b - a
 
@@ -66,8 +64,6 @@ def token_id_digests(files: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("part", "row", "doc_id")), pa.array(np.diff(offsets).astype(np.int64)), pa.array(crc, pa.int64())], ["part", "row", "doc_id", "n_tokens", "ids_crc32"])
 
     rows = files.select("part", "row", "doc_id", "ids").mapInArrow(digested, f"part int, row long, doc_id {files.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_crc32 long")
-    from rookery.llm.common import cut
-
     rows = cut(rows, "digests")
     totals = rows.groupBy("part").agg(F.sum("n_tokens").alias("total"))
     before = totals.select("part", (F.sum("total").over(Window.orderBy("part")) - F.col("total")).alias("before"))

@@ -14,8 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rookery.llm.chunks import BLOCK, library_values, packed
-from rookery.llm.common import cut, narrow, runs
+from rookery.llm.chunks import library_ids
+from rookery.llm.common import cut, narrow
 
 #: Items that a task best-fits at once; tasks merged into one a round; tokens that a sequence may lack and be emitted before the last round.
 ITEMS, FAN_IN, SLACK = 100_000, 8, 0
@@ -71,7 +71,7 @@ def best_fit_packing(docs: DataFrame, tokenizer_path: str, pattern: str, capacit
     def first(batches):
         from pyspark import TaskContext
 
-        values, end = library_values(tokenizer_path, pattern), packed([end_id])
+        library = library_ids(tokenizer_path, pattern)
         made, base = 0, TaskContext.get().partitionId() << 32
         held: list = []
         keys: list = []
@@ -90,10 +90,11 @@ def best_fit_packing(docs: DataFrame, tokenizer_path: str, pattern: str, capacit
         rows_type = None
         for batch in batches:
             rows_type = batch.schema.field("doc_id").type
-            texts, doc_ids = [t or "" for t in batch.column("text").to_pylist()], batch.column("doc_id").to_pylist()
-            for a, b in runs([len(t) for t in texts], BLOCK):
-                for doc_id, ids in zip(doc_ids[a:b], values.values(texts[a:b]), strict=True):
-                    pieces = [*_cut_text(ids + end, capacity)]
+            doc_ids = batch.column("doc_id").to_pylist()
+            for a, b, offsets, ids in library.blocks(batch.column("text"), end_id):
+                whole, offsets = ids.tobytes(), (4 * offsets).tolist()
+                for doc_id, start, end in zip(doc_ids[a:b], offsets, offsets[1:], strict=False):
+                    pieces = [*_cut_text(whole[start:end], capacity)]
                     owner += [len(keys)] * len(pieces)
                     keys.append(doc_id)
                     held += pieces
