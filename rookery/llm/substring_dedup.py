@@ -11,13 +11,14 @@ at 0.9 with 0.9996.
 
 Within a key each line is compared with two pivots, the least and the greatest; what that joins is one component. Lines of one key that
 are still in different components are then compared pair by pair, where the key has at most CROWD members. Members of larger ones
-(families of lines that resemble each other less than the threshold) get keys of their own, FINE_BANDS of FINE_ROWS values, under
-which the unlike part: a pair at 0.85 shares one of these with probability 0.998, at 0.6 with 0.08. So a group of near copies costs a
-linear number of comparisons.
+(families of lines that resemble each other less than the threshold) are first compared with PIVOTS more of each key; those then still
+apart are joined exactly, on the rarest of their shingles: each pair of them that is similar enough is found, and pairs that are proven
+too unlike by sizes and places of shared shingles are never compared.
 """
 
 from __future__ import annotations
 
+import math
 import re
 
 import numpy as np
@@ -31,8 +32,8 @@ from rookery.llm.common import cut, drop, narrow
 from rookery.llm.components import connected_components
 
 SHINGLE, SIMILARITY, LEAST, WINDOW, PASSAGE, BANDS, ROWS = 5, 0.8, 20, 20, 16, 6, 3
-#: Members of a key of lines that are compared pair by pair, and the bands and rows of the keys for lines of larger keys.
-CROWD, FINE_BANDS, FINE_ROWS = 24, 40, 12
+#: Members of a key of lines that are compared pair by pair; pivots of larger keys; buckets that count shingles; side of a cell of comparisons.
+CROWD, PIVOTS, BUCKETS, BLOCK = 24, 4, 1 << 18, 1024
 WORD = re.compile(r"\S+")
 _DICE = np.random.default_rng(7)
 _ODD = _DICE.integers(1 << 62, (1 << 63) - 1, 128, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -186,31 +187,69 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
     return pairs.distinct().join(one, "src").join(two, "dst").where(similar("a", "b") >= similarity).select("src", "dst")
 
 
-def _fine_keys(lines: DataFrame, bands: int = FINE_BANDS, rows: int = FINE_ROWS) -> DataFrame:
-    """key, node, root of (node, text, root): more and longer keys than _keys gives."""
+def _shingles(text: str) -> np.ndarray:
+    """Hashes of the distinct five-word shingles of a text of single spaces."""
+    hashed = word_hashes(text.split(" "))
+    out = hashed[: len(hashed) - SHINGLE + 1].copy()
+    for j in range(1, SHINGLE):
+        out += hashed[j : len(hashed) - SHINGLE + 1 + j] * _ODD[j + 1]
+    return np.unique(_mixed(out))
 
-    factors = np.random.default_rng(11).integers(1 << 62, (1 << 63) - 1, (rows, bands), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
-    @F.pandas_udf("array<long>")
-    def keys(texts: pd.Series) -> pd.Series:
-        out = []
-        for text in texts:
-            hashed = word_hashes(text.split(" "))
-            shingles = hashed[: len(hashed) - SHINGLE + 1].copy()
-            for j in range(1, SHINGLE):
-                shingles += hashed[j : len(hashed) - SHINGLE + 1 + j] * _ODD[j + 1]
-            shingles = np.unique(_mixed(shingles))
-            key = _mixed(np.arange(bands, dtype=np.uint64) + np.uint64(1 << 40))
-            for r in range(rows):
-                least = np.array([np.full(bands, _TOP)])
-                for k in range(0, len(shingles), 4096):
-                    block = shingles[k : k + 4096] * factors[r, :, None]
-                    least = np.minimum(least, (block ^ (block >> np.uint64(31))).min(1))
-                key = _mixed(key * _ODD[100] + least[0])
-            out.append(key.view(np.int64))
-        return pd.Series(out, dtype=object)
+def _prefixes(lines: DataFrame, similarity: float) -> DataFrame:
+    """token, at, size, short, node, root of the rarest shingles of (node, text, root), as many as a similar line must share one of.
+
+    Rarity is that of a bucket of shingles, so the counts have a bounded size; any order is exact, a good one gives few candidates.
+    short: also among those that a line shares with a similar one of at least its own size.
+    """
 
-    return lines.select("node", "root", F.explode(keys("text")).alias("key"))
+    def counted(batches):
+        counts = np.zeros(BUCKETS, np.int64)
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                np.add.at(counts, (_shingles(text) >> np.uint64(40)).astype(np.int64) % BUCKETS, 1)
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], ["bucket", "n"])
+
+    common = np.zeros(BUCKETS, np.int64)
+    for r in lines.select("text").mapInArrow(counted, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():  # at most BUCKETS rows
+        common[r["bucket"]] = r["n"]
+
+    def cut_short(batches):
+        for batch in batches:
+            whose, columns = [], [[], [], [], []]
+            for i, text in enumerate(batch.column("text").to_pylist()):
+                tokens = _shingles(text)
+                n = len(tokens)
+                most = n - math.ceil(similarity * n - 1e-9) + 1
+                few = n - math.ceil(2 * similarity / (1 + similarity) * n - 1e-9) + 1
+                rare = tokens[np.lexsort((tokens, common[(tokens >> np.uint64(40)).astype(np.int64) % BUCKETS]))[:most]]
+                whose.append(np.full(len(rare), i))
+                for column, x in zip(columns, (rare.view(np.int64), np.arange(len(rare), dtype=np.int32), np.full(len(rare), n, np.int32), np.arange(len(rare)) < few), strict=True):
+                    column.append(x)
+            if whose:
+                at = pa.array(np.concatenate(whose))
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(c)) for c in columns), batch.column("node").take(at), batch.column("root").take(at)], ["token", "at", "size", "short", "node", "root"])
+
+    kind = lines.schema["node"].dataType.simpleString()
+    return lines.select("node", "text", "root").mapInArrow(cut_short, f"token long, at int, size int, short boolean, node {kind}, root {kind}")
+
+
+def _similar_apart(lines: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (src, dst) of (node, text, root) with different roots: all at least that similar, and some that are not.
+
+    Similar sets share one of their rarest members, and from the first shared one on both have enough left (prefix and position filter).
+    The members under one shingle are compared in cells of BLOCK by BLOCK.
+    """
+    listed = cut(_prefixes(lines, similarity), "prefixes")
+    sizes = listed.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.max("short").alias("some"), F.min("root").alias("one"), F.max("root").alias("other")).where("some and n > 1 and one <> other")
+    parts = cut(listed.join(sizes.select("token", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts")), "token").withColumn("part", F.pmod(F.xxhash64("node"), "parts")), "parts")
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)).alias("other")
+    one = parts.where("short").select("token", "at", "size", F.col("node").alias("a"), F.col("root").alias("r"), F.col("part"), every)
+    two = parts.select("token", F.col("at").alias("at2"), F.col("size").alias("size2"), F.col("node").alias("b"), F.col("root").alias("s"), F.col("part").alias("other"), every.alias("part"))
+    share = similarity / (1 + similarity)
+    near = f"r <> s and (size < size2 or size = size2 and a < b) and size >= {similarity} * size2 - 1e-9 and least(size - at, size2 - at2) >= {share} * (size + size2) - 1e-9"
+    return one.join(two, ["token", "part", "other"]).where(near).select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"))
 
 
 def _pairs_apart(placed: DataFrame) -> DataFrame:
@@ -229,13 +268,16 @@ def _line_links(members: DataFrame, texts: DataFrame, similarity: float) -> Data
     placed = cut(members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "placed")
     mixed = placed.groupBy("key").agg(F.min("root").alias("one"), F.max("root").alias("other"), F.count(F.lit(1)).alias("n")).where("one <> other").select("key", "n")
     apart = placed.join(mixed, "key")
-    crowd = apart.where(F.col("n") > CROWD).select("node", "root").distinct()
-    fine = cut(_fine_keys(crowd.join(texts, "node")), "fine")
-    sizes = fine.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("one"), F.max("root").alias("other"), F.min("node").alias("low")).where("one <> other").select("key", "n", "low")
-    fine = fine.join(sizes, "key")
-    pairs = _pairs_apart(apart.where(F.col("n") <= CROWD)).union(_pairs_apart(fine.where(F.col("n") <= CROWD)))
-    pairs = pairs.union(fine.where((F.col("n") > CROWD) & (F.col("node") != F.col("low"))).select(F.col("low").alias("src"), F.col("node").alias("dst")))
-    return connected_components(links.union(_verified(pairs, texts, similarity)))
+    pairs = _pairs_apart(apart.where(F.col("n") <= CROWD))
+    crowd = cut(apart.where(F.col("n") > CROWD).select("key", "node", "root"), "crowd")
+    if crowd.isEmpty():
+        return connected_components(links.union(_verified(pairs, texts, similarity)))
+    pivots = crowd.groupBy("key").agg(F.array_distinct(F.array(*(F.min_by("node", F.xxhash64("node", F.lit(i))) for i in range(PIVOTS)))).alias("pivots"))
+    stars = crowd.join(pivots, "key").select("node", F.explode("pivots").alias("pivot")).where("node <> pivot").select(F.least("node", "pivot").alias("src"), F.greatest("node", "pivot").alias("dst"))
+    links = cut(links.union(_verified(pairs.union(stars), texts, similarity)), "more_links")
+    roots = cut(connected_components(links), "roots")
+    lines = crowd.select("node").distinct().join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root")).join(texts, "node")
+    return connected_components(links.union(_verified(_similar_apart(cut(lines, "crowd_lines"), similarity), texts, similarity)))
 
 
 def repeated_passages(docs: DataFrame, similarity: float = SIMILARITY, least: int = LEAST, window: int = WINDOW, passage: int = PASSAGE, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

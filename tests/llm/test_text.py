@@ -221,3 +221,37 @@ def test_substring_edges(odd, none):
     got = substring_dedup.repeated_passages(odd).collect()
     assert {r.doc_id for r in got} >= {7, 8, 9, 11} and all(r.doc_id is not None for r in got)
     assert substring_dedup.repeated_passages(none).count() == 0
+
+
+def test_families_below_the_threshold_equal_brute_force(spark):
+    """Lines of one template that resemble each other a little less than the threshold, with near copies of some among them."""
+    dice = random.Random(9)
+    base, rows = words(120, dice).split(" "), []
+    for _ in range(300):
+        own = [*base]
+        for at in dice.sample(range(10, 60), 2):
+            own[at] = f"u{dice.randrange(10**9)}"
+        rows.append(own)
+    for i in range(0, 300, 2):
+        own = [*rows[i]]
+        for at in (1, 70 + i % 10, 90 + i % 7):  # 12 of 116 shingles change: similarity 0.8125
+            own[at] = f"u{dice.randrange(10**9)}"
+        rows.append(own)
+    sets = [{tuple(w[j : j + 5]) for j in range(len(w) - 4)} for w in rows]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string").repartition(4)
+    got = {r.doc_id for r in substring_dedup.repeated_passages(docs).where("kind = 'line'").collect()}
+    up = [*range(len(rows))]
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            x, y = sets[a], sets[b]
+            both = len(x & y)
+            if both >= 0.8 * (len(x) + len(y) - both):
+                p, q = find(a), find(b)
+                up[max(p, q)] = min(p, q)
+    assert got == {n for n in range(len(rows)) if find(n) != n}
