@@ -104,6 +104,12 @@ def redact_documents(t):
     return rows.select("doc_id", redact.redact_text(F.col("text")).alias("text"))
 
 
+@query()
+def redact_all_documents(t):
+    """Every row, of any length and with secrets of any shape; redact_documents is the part of it that SQL can follow."""
+    return t("documents").select("doc_id", redact.redact_text(F.col("text")).alias("text"))
+
+
 @query(f"select p_partkey, regexp_matches(lower(p_name), '{redact.SECRET_WORDS}') as secret, regexp_replace(lower(p_name), '[-_]', '', 'g') as norm from part")
 def secret_and_normal_keys(t):
     return t("part").select("p_partkey", redact.is_secret_key(F.col("p_name")).alias("secret"), text.norm_key(F.col("p_name")).alias("norm"))
