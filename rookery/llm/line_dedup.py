@@ -1,7 +1,8 @@
 """Line dedup by content-defined chunks of lines.
 
 A rolling hash over the hashes of the last lines of a document chooses where a chunk of lines ends, so inserted or missing lines move no
-boundary but the nearest. Chunks of several lines that occur more than once in the corpus stay where they come first, by document id and
+boundary but the nearest. A boundary right after another one does not count, so a chunk has two lines at least (but for documents of
+one line). Chunks of several lines that occur more than once in the corpus stay where they come first, by document id and
 place, and go everywhere else, once their bytes prove equal: grouping the hashed-alike chunks by their very text is the comparison, and it
 collapses copies before the shuffle. What is joined with the documents grows with them, so it is never broadcast, however small it starts.
 """
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from rookery.llm.common import col, cut, narrow
 
-#: Lines that the rolling hash sees; a boundary every so many lines on average; most lines of a chunk.
+#: Lines that the rolling hash sees; a boundary every so many lines on average; most lines of a chunk (one more, if it would stand alone).
 WINDOW, EVERY, MOST = 2, 3, 64
 
 
@@ -31,11 +32,14 @@ def chunk_lines(lines: list[str], window: int = WINDOW, every: int = EVERY, most
     for back in range(1, window):
         rolled[back:] += hashes[:-back] * np.uint64((0x9E3779B97F4A7C15 * (2 * back + 1)) % (1 << 64)) if len(hashes) > back else np.uint64(0)
     rolled ^= rolled >> np.uint64(29)
-    ends = (np.flatnonzero(rolled % np.uint64(every) == 0) + 1).tolist()
+    ends: list[int] = []
+    for end in (np.flatnonzero(rolled % np.uint64(max(1, every - 1)) == 0) + 1).tolist():  # two lines, then one in every - 1: `every` on average
+        if end - (ends[-1] if ends else 0) > 1 and len(lines) - end > 1:
+            ends.append(end)
     out, start = [], 0
     for end in [*ends, len(lines)]:
         while end > start:
-            stop = min(end, start + most)
+            stop = end if end - start <= most + 1 else start + most  # no single line is left over
             out.append((start, stop))
             start = stop
     return out

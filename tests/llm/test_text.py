@@ -145,6 +145,20 @@ def test_chunks_resist_shifts():
     assert line_dedup.chunk_lines([]) == [] and line_dedup.chunk_lines(["a"] * 200)[-1][1] == 200
 
 
+def test_copies_of_documents_go_whole(spark):
+    """No chunk is a single line, so nothing stays of a copy; planted passages lose more lines than chunks of any length gave."""
+    dice = random.Random(4)
+    fresh = lambda n: [f"line {dice.random()}" for _ in range(n)]
+    passage = fresh(20)
+    rows = [(i, "\n".join(fresh(2 + i))) for i in range(40)]
+    rows += [(100 + i, text) for i, text in rows]
+    rows += [(200 + i, "\n".join(fresh(10) + passage + fresh(10))) for i in range(40)]
+    got = {r.doc_id: r for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), count_col="gone").collect()}
+    assert all(got[i].gone == 0 and got[100 + i].gone == 2 + i for i in range(40))
+    assert all(b - a > 1 for n in range(2, 200) for a, b in line_dedup.chunk_lines(fresh(n)))
+    assert sum(got[200 + i].gone for i in range(1, 40)) >= 0.7 * 39 * 20
+
+
 def test_unequal_bytes_under_one_hash_stay(spark, monkeypatch):
     """With a hash that always collides only equal chunks go."""
     lines = lambda tag: "\n".join(f"{tag} {i}" for i in range(2))
