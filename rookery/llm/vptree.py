@@ -1,138 +1,350 @@
-"""Approximate nearest neighbours with a vantage-point tree for each shard of the vectors.
+"""Approximate nearest neighbours with vantage-point trees.
 
-A node splits its points at the median distance from a vantage point. The far side of a node is searched only if the triangle inequality
-allows a nearer point there: relax * |d(query, vantage) - median| <= current k-th distance. relax = 1 is exact search; more prunes more.
-All queries walk a tree together, so that each step is one array operation. Shards hold a bounded number of rows, and queries come in
-blocks of a bounded size; each (block, shard) is one group.
+Distinct vectors are points; of the ids at one point the k + 1 smallest can matter and are kept. A top tree, fitted on a bounded sample of the
+points (SAMPLE rows, SAMPLE_VALUES components; see top_trees), routes every point to a cell; a cell of more than `shard` points is cut by hash
+into shards. Each shard's tree is built once and stored. A query is searched in its own cell; with the radius that gives, it goes on only to
+the cells that the relaxed triangle inequality does not exclude, and within a tree likewise: a side is searched only if
+relax * (its distance from the query by the inequality) <= radius. relax = 1 is exact search; more prunes more.
+
+In a tree all queries of a block walk together. A leaf is one matrix product, which proposes what may lie within the radius with room for
+its rounding; only those distances are then computed as the definition says.
 """
 
 from __future__ import annotations
 
+import io
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from rookery.llm.common import narrow
+from rookery.llm.common import cut, drop, narrow
+
+#: Points of a shard, queries of a block, points of a leaf; cells of the top tree at most.
+SHARD, QUERIES, LEAF, CELLS = 4096, 1024, 256, 1024
+#: What the top tree is fitted on: points at most, and components of them in all (16 MB).
+SAMPLE, SAMPLE_VALUES = 16384, 1 << 21
+FAR = np.iinfo(np.int64).max
+
+
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Row by row, in double precision."""
+    return np.sqrt(((a - b) ** 2).sum(-1))
 
-SHARD, QUERIES, LEAF = 4096, 2048, 48
+
+def _halves(points: np.ndarray, rows: np.ndarray, dice) -> tuple[int, np.ndarray, np.ndarray, float, float]:
+    """A vantage point, the nearer and the further half of the other rows in order of distance, and the bounds between them."""
+    at = int(dice.integers(len(rows)))
+    rest = np.delete(rows, at)
+    d = distances(points[rest], points[rows[at]])
+    order = np.argsort(d, kind="stable")
+    half = (len(rest) + 1) // 2
+    return int(rows[at]), rest[order[:half]], rest[order[half:]], float(d[order[half - 1]]), float(d[order[min(half, len(rest) - 1)]])
 
 
 class VantageTree:
-    """Over distinct points; ids[i] are the ascending ids of the rows at point i."""
-
-    def __init__(self, points: np.ndarray, leaf: int = LEAF):
-        self.points, self.leaf = points, leaf
-        self.root = self._build(np.arange(len(points)), np.random.default_rng(len(points)))
-
-    def _build(self, rows: np.ndarray, dice):
-        if len(rows) <= self.leaf:
-            return rows
-        at = dice.integers(len(rows))
-        vantage, rest = rows[at], np.delete(rows, at)
-        d = np.sqrt(((self.points[rest] - self.points[vantage]) ** 2).sum(1))
-        middle = float(np.median(d))
-        near = d <= middle
-        if near.all():  # many points at one distance: halve them anyhow, the bound holds for either side
-            near = np.arange(len(rest)) < len(rest) // 2
-        return vantage, middle, self._build(rest[near], dice), self._build(rest[~near], dice)
-
-    def nearest(self, queries: np.ndarray, k: int, first_id: np.ndarray, relax: float) -> tuple[np.ndarray, np.ndarray]:
-        """(distances, points) of the k nearest found for each query, nearest first, ties to the smaller first_id; inf and -1 fill up."""
-        best, found, ids = np.full((len(queries), k), np.inf), np.full((len(queries), k), -1), np.full((len(queries), k), np.iinfo(np.int64).max)
-        self._visit(self.root, np.arange(len(queries)), queries, best, found, ids, first_id, relax)
-        return best, found
-
-    def _offer(self, q, rows, queries, best, found, ids, first_id) -> np.ndarray:
-        d = np.sqrt(((queries[q][:, None, :] - self.points[rows][None, :, :]) ** 2).sum(2))
-        near = np.flatnonzero((d <= best[q, -1:]).any(1))
-        if len(near):
-            at = q[near]
-            all_d = np.hstack([best[at], d[near]])
-            all_p = np.hstack([found[at], np.broadcast_to(rows, (len(near), len(rows)))])
-            all_i = np.hstack([ids[at], np.broadcast_to(first_id[rows], (len(near), len(rows)))])
-            order = np.lexsort((all_i, all_d), axis=1)[:, : best.shape[1]]
-            best[at], found[at], ids[at] = (np.take_along_axis(x, order, 1) for x in (all_d, all_p, all_i))
-        return d
-
-    def _visit(self, node, q, queries, best, found, ids, first_id, relax) -> None:
+    """Over distinct points; first[i] is the least id at point i. Nodes are rows (vantage, nearer, further), leaves are runs of `order`."""
+
+    def __init__(self, points: np.ndarray, first: np.ndarray, leaf: int = LEAF):
+        self.points, self.first = points, first
+        nodes, bounds, order, dice = [], [], [], np.random.default_rng(len(points))
+
+        def build(rows: np.ndarray) -> int:
+            me = len(nodes)
+            nodes.append([-1, len(order), len(order) + len(rows)])
+            bounds.append((0.0, 0.0))
+            if len(rows) <= leaf:
+                order.extend(rows.tolist())
+                return me
+            vantage, near, far, low, high = _halves(points, rows, dice)
+            bounds[me] = (low, high)
+            nodes[me] = [vantage, build(near), build(far)]
+            return me
+
+        build(np.arange(len(points)))
+        self.nodes, self.bounds, self.order = np.array(nodes, np.int64).reshape(-1, 3), np.array(bounds), np.array(order, np.int64)
+
+    def nearest(self, queries: np.ndarray, most: int, radius: np.ndarray, relax: float) -> tuple[np.ndarray, np.ndarray]:
+        """(distances, points) of the `most` nearest found within the radius of each query, nearest first, ties to the smaller first id; inf and -1 fill up."""
+        self.q, self.limit, self.relax = queries, radius, relax
+        shape = (len(queries), most)
+        self.d, self.at, self.ids = np.full(shape, np.inf), np.full(shape, -1), np.full(shape, FAR)
+        self.square, self.q_square = (self.points**2).sum(1), (queries**2).sum(1)
+        self._visit(0, np.arange(len(queries)))
+        return self.d, self.at
+
+    def _within(self, q: np.ndarray) -> np.ndarray:
+        return np.minimum(self.d[q, -1], self.limit[q])
+
+    def _offer(self, q: np.ndarray, rows: np.ndarray) -> None:
+        rough = self.q_square[q][:, None] + self.square[rows][None, :] - 2 * (self.q[q] @ self.points[rows].T)
+        room = 1e-12 * (self.q_square[q][:, None] + self.square[rows][None, :])  # far more than the rounding of the product
+        who, what = np.nonzero(rough <= (self._within(q) ** 2 * (1 + 1e-12))[:, None] + room)
+        if not len(who):
+            return
+        d = distances(self.q[q[who]], self.points[rows[what]])
+        fine = d <= self._within(q)[who]
+        who, what, d = who[fine], what[fine], d[fine]
+        if not len(who):
+            return
+        hit, start, n = np.unique(who, return_index=True, return_counts=True)
+        place = np.arange(len(who)) - np.repeat(start, n)
+        row = np.repeat(np.arange(len(hit)), n)
+        new_d, new_at, new_ids = np.full((len(hit), n.max()), np.inf), np.full((len(hit), n.max()), -1), np.full((len(hit), n.max()), FAR)
+        new_d[row, place], new_at[row, place], new_ids[row, place] = d, rows[what], self.first[rows[what]]
+        at = q[hit]
+        all_d, all_at, all_ids = np.hstack([self.d[at], new_d]), np.hstack([self.at[at], new_at]), np.hstack([self.ids[at], new_ids])
+        order = np.lexsort((all_ids, all_d), axis=1)[:, : self.d.shape[1]]
+        self.d[at], self.at[at], self.ids[at] = (np.take_along_axis(x, order, 1) for x in (all_d, all_at, all_ids))
+
+    def _visit(self, node: int, q: np.ndarray) -> None:
         if not len(q):
             return
-        if not isinstance(node, tuple):
-            for a in range(0, len(q), 256):
-                if len(node):
-                    self._offer(q[a : a + 256], node, queries, best, found, ids, first_id)
+        vantage, near, far = self.nodes[node].tolist()
+        if vantage < 0:
+            for a in range(0, len(q), 512):
+                if far > near:
+                    self._offer(q[a : a + 512], self.order[near:far])
             return
-        vantage, middle, inside, outside = node
-        rest = (queries, best, found, ids, first_id, relax)
-        d = self._offer(q, np.array([vantage]), *rest[:-1])[:, 0]
-        gap, first = np.abs(d - middle) * (1 - 1e-12), d <= middle
-        for side, other, mine in ((inside, outside, first), (outside, inside, ~first)):
-            self._visit(side, q[mine], *rest)
-            further = relax * gap[mine] <= best[q[mine], -1]
-            self._visit(other, q[mine][further], *rest)
+        self._offer(q, np.array([vantage]))
+        d = distances(self.q[q], self.points[vantage])
+        low, high = self.bounds[node]
+        inside = d <= (low + high) / 2
+        for side, other, gap, mine in ((near, far, high - d, inside), (far, near, d - low, ~inside)):
+            self._visit(side, q[mine])
+            self._visit(other, q[mine][self.relax * gap[mine] * (1 - 1e-12) <= self._within(q[mine])])
 
 
-def search_shard(points: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int, relax: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query row, id, distance) of each query's k nearest rows found; rows with the query's own id don't count.
+def search_tree(tree: VantageTree, ids: np.ndarray, starts: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, radius: np.ndarray, k: int, relax: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query row, id, distance) of each query's k nearest ids found within its radius, its own id left out; an id counts where it is nearest.
 
-    Equal vectors stand in the tree once. k + 1 points hold the k nearest rows even if one of them is the query's own alone.
+    ids[starts[p]:starts[p + 1]] are those at point p, ascending. k + 1 points give k ids unless some share their first id: those queries
+    are asked again for twice as many points.
     """
-    order = np.argsort(ids, kind="stable")
-    points, ids = points[order], ids[order]
-    _, first, which = np.unique(points, axis=0, return_index=True, return_inverse=True)
-    which = which.reshape(-1)
-    tree = VantageTree(points[first])
-    distance, found = tree.nearest(queries, k + 1, ids[first], relax)
-    by_point = np.argsort(which, kind="stable")  # ids stay in order within a point
-    starts = np.searchsorted(which[by_point], np.arange(len(first) + 1))
-    rows, out_ids, out_d = [], [], []
-    for i in range(len(queries)):
-        near: list = []
-        for d, p in zip(distance[i].tolist(), found[i].tolist(), strict=True):
-            if p >= 0:
-                own = np.unique(ids[by_point[starts[p] : min(starts[p + 1], starts[p] + 4 * k)]])
-                near += [(d, j) for j in own[own != query_ids[i]][:k].tolist()]
-        for d, j in sorted(near)[:k]:
-            rows.append(i)
-            out_ids.append(j)
-            out_d.append(d)
-    return np.array(rows, np.int64), np.array(out_ids, np.int64), np.array(out_d, np.float64)
+    out: list[list] = [[], [], []]
+    todo, most = np.arange(len(queries)), k + 1
+    while len(todo):
+        d, at = tree.nearest(queries[todo], most, radius[todo], relax)
+        again = []
+        for i, row in enumerate(todo.tolist()):
+            found = at[i][at[i] >= 0]
+            firsts = {*tree.first[found].tolist()} - {int(query_ids[row])}
+            if len(found) == most and len(firsts) < k and most < len(tree.points):
+                again.append(row)
+                continue
+            best: dict[int, float] = {}
+            for dist, p in zip(d[i].tolist(), found.tolist(), strict=False):
+                for j in ids[starts[p] : starts[p + 1]].tolist():
+                    if j != query_ids[row]:
+                        best.setdefault(j, dist)
+            near = sorted((dist, j) for j, dist in best.items())[:k]
+            out[0] += [row] * len(near)
+            out[1] += [j for _, j in near]
+            out[2] += [dist for dist, _ in near]
+        todo, most = np.array(again, np.int64), 2 * most
+    return np.array(out[0], np.int64), np.array(out[1], np.int64), np.array(out[2], np.float64)
+
+
+class TopTree:
+    """Routes vectors of one dimension to cells: nodes are (vantage vector, middle, nearer, further), leaves are cell numbers."""
+
+    def __init__(self, sample: np.ndarray, cells: int):
+        dice, self.cells = np.random.default_rng(1), 0
+
+        def build(rows: np.ndarray, want: int):
+            if want < 2 or len(rows) < 3:
+                self.cells += 1
+                return self.cells - 1
+            vantage, near, far, low, high = _halves(sample, rows, dice)
+            return sample[vantage], (low + high) / 2, build(near, (want + 1) // 2), build(far, want // 2)
+
+        self.root = build(np.arange(len(sample)), cells)
+
+    def own(self, vectors: np.ndarray) -> np.ndarray:
+        """The cell of each vector."""
+        out = np.zeros(len(vectors), np.int32)
+
+        def walk(node, rows):
+            if not len(rows):
+                return
+            if isinstance(node, int):
+                out[rows] = node
+                return
+            inside = distances(vectors[rows], node[0]) <= node[1]
+            walk(node[2], rows[inside])
+            walk(node[3], rows[~inside])
+
+        walk(self.root, np.arange(len(vectors)))
+        return out
+
+    def within(self, vectors: np.ndarray, radius: np.ndarray, relax: float) -> tuple[np.ndarray, np.ndarray]:
+        """(row, cell) of all cells that may hold a point within the radius of each vector, by the relaxed inequality."""
+        found: list[tuple[np.ndarray, int]] = []
+
+        def walk(node, rows):
+            if not len(rows):
+                return
+            if isinstance(node, int):
+                found.append((rows, node))
+                return
+            gap = distances(vectors[rows], node[0]) - node[1]
+            room = radius[rows] + relax * 1e-12 * np.abs(node[1])
+            walk(node[2], rows[relax * gap <= room])
+            walk(node[3], rows[-relax * gap <= room])
+
+        walk(self.root, np.arange(len(vectors)))
+        rows = [r for r, _ in found]
+        return np.concatenate(rows) if rows else np.empty(0, np.int64), np.concatenate([np.full(len(r), c, np.int32) for r, c in found]) if rows else np.empty(0, np.int32)
+
+
+def _matrix(column: pa.Array, dims: int) -> np.ndarray:
+    return np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(-1, dims)
+
+
+def _whole(column) -> pa.Array:
+    return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+
+
+def _by_dims(batch: pa.RecordBatch, name: str):
+    """(dims, places, matrix) of the vectors of a batch."""
+    sizes = batch.column("dims").to_numpy()
+    for dims in np.unique(sizes).tolist():
+        places = np.flatnonzero(sizes == dims)
+        yield dims, places, _matrix(batch.column(name).take(pa.array(places)), dims)
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """id and vector (doubles) of the rows that take part: neither null, zero nor with null or non-finite components; equal rows once."""
-    rows = narrow(vectors, id=id_col, vector=vector_col).select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector"))
+    """id and vector of the rows that take part: neither null, zero nor with null or non-finite components."""
+    rows = narrow(vectors, id=id_col, vector=vector_col)
+    kind = rows.schema["vector"].dataType.simpleString()
+    rows = rows.select(F.col("id").cast("long").alias("id"), F.col("vector") if kind in ("array<float>", "array<double>") else F.col("vector").cast("array<double>").alias("vector"))
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
     return rows.where("id is not null and vector is not null").where(~F.exists("vector", bad) & F.exists("vector", lambda x: x != 0))
 
 
-def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, relax: float = 1.0, id_col: str = "vec_id", vector_col: str = "embedding", shard: int = SHARD, block: int = QUERIES) -> DataFrame:
+def top_trees(points: DataFrame, shard: int) -> dict[int, TopTree]:
+    """For each dimension in the sample a top tree; the sample is that of the least hashes, so it does not depend on the partitions."""
+    sizes = points.groupBy("dims").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "dims").limit(64).collect()
+    out = {}
+    for dims, n in sizes:  # at most 64 dimensions have a tree; all others have one cell, cut by hash like any
+        cells = min(CELLS, math.ceil(n / shard))
+        if cells > 1:
+            rows = points.where(F.col("dims") == dims).orderBy(F.xxhash64("vector"), "first").select("vector").limit(max(2, min(SAMPLE, SAMPLE_VALUES // dims)))
+            out[dims] = TopTree(np.array([r[0] for r in rows.collect()], np.float64), cells)
+    return out
+
+
+def stored_trees(points: DataFrame, tops: dict[int, TopTree], shard: int) -> DataFrame:
+    """cell, dims, part, tree: one row for each shard."""
+    kind = points.schema["vector"].dataType.simpleString()
+
+    def routed(batches):
+        for batch in batches:
+            cells = np.zeros(batch.num_rows, np.int32)
+            for dims, places, matrix in _by_dims(batch, "vector"):
+                if dims in tops:
+                    cells[places] = tops[dims].own(matrix)
+            yield pa.RecordBatch.from_arrays([pa.array(cells), *batch.columns], ["cell", *batch.schema.names])
+
+    placed = cut(points.mapInArrow(routed, f"cell int, vector {kind}, dims int, first long, ids array<long>"), "placed")
+    counts = placed.groupBy("cell", "dims").agg(F.ceil(F.count(F.lit(1)) / shard).cast("int").alias("parts"))
+    parted = placed.join(counts, ["cell", "dims"]).withColumn("part", F.pmod(F.xxhash64("vector", F.lit(1)), "parts").cast("int")).drop("parts")
+
+    def built(table: pa.Table) -> pa.Table:
+        dims = table.column("dims")[0].as_py()
+        order = np.argsort(table.column("first").to_numpy(), kind="stable")
+        table = table.take(pa.array(order))
+        points_, ids = _whole(table.column("vector")), _whole(table.column("ids"))
+        flat = points_.flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
+        tree = VantageTree(flat.astype(np.float64), table.column("first").to_numpy())
+        held = io.BytesIO()
+        np.savez(held, points=flat, first=tree.first, nodes=tree.nodes, bounds=tree.bounds, order=tree.order, ids=ids.flatten().to_numpy(), starts=np.concatenate([[0], np.cumsum(ids.value_lengths().to_numpy())]))
+        return pa.table({"cell": table.column("cell")[:1], "dims": table.column("dims")[:1], "part": table.column("part")[:1], "tree": pa.array([held.getvalue()], pa.binary())})
+
+    trees = cut(parted.groupBy("cell", "dims", "part").applyInArrow(built, "cell int, dims int, part int, tree binary"), "trees")
+    drop(placed)
+    return trees
+
+
+def _loaded(data: bytes) -> tuple[VantageTree, np.ndarray, np.ndarray]:
+    with np.load(io.BytesIO(data)) as held:
+        tree = VantageTree.__new__(VantageTree)
+        tree.points, tree.first, tree.nodes, tree.bounds, tree.order = held["points"].astype(np.float64), held["first"], held["nodes"], held["bounds"], held["order"]
+        return tree, held["ids"], held["starts"]
+
+
+def _search(trees: DataFrame, asked: DataFrame, k: int, relax: float) -> DataFrame:
+    """query_id, vec_id, score of what the queries (query_id, vector, dims, cell, radius) find in their cells; a block of queries goes to each shard of a cell."""
+    blocks = asked.groupBy("cell", "dims").agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("blocks"))
+    parts = trees.groupBy("cell", "dims").agg(F.max("part").alias("last"))
+    left = trees.join(blocks, ["cell", "dims"]).select("cell", "dims", "part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "tree")
+    right = asked.join(blocks, ["cell", "dims"]).join(parts, ["cell", "dims"]).select("query_id", "vector", "radius", "cell", "dims", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("part"), F.pmod(F.xxhash64("query_id"), "blocks").cast("int").alias("block"))
+    keys = ["cell", "dims", "part", "block"]
+
+    def searched(one: pa.Table, two: pa.Table) -> pa.Table:
+        rows, ids, d = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        asking = np.empty(0, np.int64)
+        if one.num_rows and two.num_rows:
+            tree, of, starts = _loaded(one.column("tree")[0].as_py())
+            asking = two.column("query_id").to_numpy()
+            rows, ids, d = search_tree(tree, of, starts, _matrix(_whole(two.column("vector")), tree.points.shape[1]), asking, two.column("radius").to_numpy(), k, relax)
+        return pa.table({"query_id": asking[rows], "vec_id": ids, "score": d})
+
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(searched, "query_id long, vec_id long, score double")
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
+    """query_id, rank, vec_id, score: each query's k nearest ids, each where it is nearest."""
+    once = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+    ranked = once.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")).cast("int"))
+    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, relax: float = 1.0, id_col: str = "vec_id", vector_col: str = "embedding", shard: int = SHARD) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k rows of vectors nearest to each row of queries that are found.
 
-    score is the Euclidean distance in double precision on the original components. Ties go to the smaller id; the row of the query's own id
-    is not a candidate. Fewer candidates than k: all are returned. Unusable vectors (see usable) take no part on either side; vectors of
-    different length are no candidates for each other. Rows that repeat an id: as candidates all their vectors count, of which the
-    nearest is returned; as a query the least vector counts. Empty tables give no rows.
+    score is the Euclidean distance in double precision on the original components. Ties go to the smaller id; rows with the query's own id
+    are no candidates. Fewer candidates than k: all are returned. Unusable vectors (see usable) take no part on either side; vectors of
+    different length are no candidates for each other. Rows that repeat an id: as candidates all their vectors count, and the id is
+    returned once, with the nearest of them; as a query the least vector counts. Repeated rows count once. Empty tables give no rows.
+    Only the two named columns are read, so others, whatever their names, don't matter.
     """
-    rows, asked = usable(vectors, id_col, vector_col), usable(queries, id_col, vector_col).groupBy("id").agg(F.min("vector").alias("vector"))
-    n = rows.count()
-    shards, blocks = max(1, math.ceil(n / shard)), max(1, math.ceil(asked.count() / block))
-    place = lambda c, parts: F.pmod(F.xxhash64(c), F.lit(parts)).cast("int")
-    data = rows.select("id", "vector", F.size("vector").alias("dims"), place("id", shards).alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    asked = asked.select("id", "vector", F.size("vector").alias("dims"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), place("id", blocks).alias("block"))
-    schema = "query_id long, vec_id long, score double"
-
-    def searched(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": np.array([], np.int64), "vec_id": np.array([], np.int64), "score": np.array([], np.float64)})
-        at, ids, d = search_shard(np.array(left["vector"].tolist(), np.float64), left["id"].to_numpy(), np.array(right["vector"].tolist(), np.float64), right["id"].to_numpy(), k, relax)
-        return pd.DataFrame({"query_id": right["id"].to_numpy()[at], "vec_id": ids, "score": d})
-
-    keys = ["block", "shard", "dims"]
-    near = data.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(searched, schema)
-    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")))
-    return ranked.where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    held = usable(vectors, id_col, vector_col).dropDuplicates(["vector", "id"])
+    first = held.withColumn("n", F.row_number().over(Window.partitionBy("vector").orderBy("id"))).where(F.col("n") <= k + 1)  # cut down before the shuffle as well
+    points = cut(first.groupBy("vector").agg(F.array_sort(F.collect_list("id")).alias("ids")).select("vector", F.size("vector").alias("dims"), F.get("ids", F.lit(0)).alias("first"), "ids"), "points")
+    tops = top_trees(points, shard)
+    trees = stored_trees(points, tops, shard)
+    drop(points)
+    asked = usable(queries, id_col, vector_col).groupBy("id").agg(F.min("vector").alias("vector")).select(F.col("id").alias("query_id"), "vector", F.size("vector").alias("dims"))
+    kind = asked.schema["vector"].dataType.simpleString()
+
+    def own(batches):
+        for batch in batches:
+            cells = np.zeros(batch.num_rows, np.int32)
+            for dims, places, matrix in _by_dims(batch, "vector"):
+                if dims in tops:
+                    cells[places] = tops[dims].own(matrix)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells)], ["query_id", "vector", "dims", "own"])
+
+    asked = cut(asked.mapInArrow(own, f"query_id long, vector {kind}, dims int, own int"), "asked")
+    near = cut(_search(trees, asked.select("query_id", "vector", "dims", F.col("own").alias("cell"), F.lit(float("inf")).alias("radius")), k, relax), "near")
+    if not tops:
+        return _best(near, k)
+    reach = _best(near, k).where(F.col("rank") == k).select("query_id", F.col("score").alias("radius"))
+    further = asked.join(reach, "query_id", "left").select("query_id", "vector", "dims", "own", F.coalesce("radius", F.lit(float("inf"))).alias("radius"))
+
+    def others(batches):
+        for batch in batches:
+            for dims, places, matrix in _by_dims(batch, "vector"):
+                if dims in tops:
+                    rows, cells = tops[dims].within(matrix, batch.column("radius").to_numpy()[places], relax)
+                    at = places[rows]
+                    new = cells != batch.column("own").to_numpy()[at]
+                    part = batch.take(pa.array(at[new]))
+                    yield pa.RecordBatch.from_arrays([part.column("query_id"), part.column("vector"), part.column("dims"), pa.array(cells[new]), part.column("radius")], ["query_id", "vector", "dims", "cell", "radius"])
+
+    more = cut(further.mapInArrow(others, f"query_id long, vector {kind}, dims int, cell int, radius double"), "further")
+    return _best(near.unionAll(_search(trees, more, k, relax)), k)

@@ -102,9 +102,10 @@ def rows_of(df):
     return out
 
 
-def test_factor_one_is_exact(spark, sf):
+@pytest.mark.parametrize("shard", [60, 4096])
+def test_factor_one_is_exact(spark, sf, shard):
     vectors = spark.read.parquet(f"{sf}/embeddings.parquet")
-    got = rows_of(vptree.nearest_neighbours(vectors, vectors.where("vec_id % 10 = 0"), shard=120, block=20))
+    got = rows_of(vptree.nearest_neighbours(vectors, vectors.where("vec_id % 10 = 0"), shard=shard))
     rows = [(r.vec_id, r.embedding) for r in vectors.collect()]
     want = exact(rows, [r for r in rows if r[0] % 10 == 0], 10)
     assert got.keys() == want.keys()
@@ -113,10 +114,44 @@ def test_factor_one_is_exact(spark, sf):
         assert np.allclose([d for d, _ in got[q]], [d for d, _ in want[q]], rtol=1e-14)
 
 
-def test_op4_recall(spark):
-    sf = "/root/testdata/sf0.1"
-    vectors = spark.read.parquet(f"{sf}/embeddings.parquet")
-    got = rows_of(QUERIES["op4_vantage_point_search"](spark, sf))
+def test_repeated_ids_equal_points_and_ties(spark):
+    """One id with a third of all rows, at its own points and at others'; copies of one vector under many ids; few distinct distances."""
+    dice = random.Random(8)
+    rows = [(i, [float(dice.randrange(3)) for _ in range(4)]) for i in range(400)]
+    rows += [(1, [float(dice.randrange(3)) for _ in range(4)]) for _ in range(200)] + [(1, rows[9][1])] * 60
+    rows += [(1000 + i, rows[5][1]) for i in range(90)]
+    rows += [(2000 + i, [2.0 * (j == i % 4) for j in range(4)]) for i in range(80)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(6)
+    distinct = {(i, tuple(v)) for i, v in rows if any(v)}
+    asked = {i: min(v for j, v in distinct if j == i) for i in {i for i, _ in distinct} if i % 7 == 0 or i == 1}
+    queries = spark.createDataFrame([(i, list(v)) for i, v in asked.items()], "vec_id long, embedding array<float>")
+    for shard in (50, 4096):
+        got = rows_of(vptree.nearest_neighbours(vectors, queries, k=10, shard=shard))
+        for q, v in asked.items():
+            best = {}
+            for i, w in distinct:
+                if i != q:
+                    d = float(np.sqrt(((np.array(v) - np.array(w)) ** 2).sum()))
+                    best[i] = min(best.get(i, d), d)
+            assert got[q] == sorted((d, i) for i, d in best.items())[:10]
+
+
+def test_search_reaches_past_points_of_one_id():
+    """k + 1 points of one id name only one: more points are asked for."""
+    points = np.array([[float(i), 1.0] for i in range(60)])
+    first = np.array([7] * 50 + [*range(100, 110)])
+    tree = vptree.VantageTree(points, first, leaf=8)
+    rows, ids, d = vptree.search_tree(tree, first, np.arange(61), np.array([[0.0, 1.0]]), np.array([0]), np.array([np.inf]), 5, 1.0)
+    assert ids.tolist() == [7, 100, 101, 102, 103] and d.tolist() == [0.0, 50.0, 51.0, 52.0, 53.0]
+
+
+@pytest.mark.parametrize("shard", [100, 4096])
+def test_op4_recall(spark, shard):
+    """With the query's factor, in many small cells as in one."""
+    from rookery.llm.queries import RELAX
+
+    vectors = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    got = rows_of(vptree.nearest_neighbours(vectors, vectors.where("vec_id % 100 = 0"), k=10, relax=RELAX, shard=shard))
     rows = [(r.vec_id, r.embedding) for r in vectors.collect()]
     matrix, ids = np.array([v for _, v in rows], float), np.array([i for i, _ in rows])
     hits = 0
@@ -130,7 +165,7 @@ def test_op4_recall(spark):
 def test_search_edges(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(i, [1.0, 2.0]) for i in range(0, 40)] + [(100, [1.0, 2.5]), (101, [3.0, 3.0]), (7, [1.0, 2.0]), (50, None), (51, [0.0, 0.0]), (52, [nan, 1.0]), (53, [inf, 1.0]), (54, [None, 1.0]), (55, []), (None, [1.0, 1.0]), (200, [1.0, 2.0, 3.0]), (300, [1.0, 2.0, 3.0])]
-    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("*", "vec_id as id", "1 as shard", "2 as block")
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("*", "vec_id as id", "1 as shard", "2 as block", "3 as vector", "4 as dims", "5 as n", "6 as cell", "7 as first", "8 as ids")
     got = rows_of(vptree.nearest_neighbours(vectors, vectors.where("vec_id % 50 = 0 or vec_id = 7"), k=10))
     assert got[0] == [(0.0, i) for i in range(1, 11)]
     assert got[7] == [(0.0, i) for i in (0, 1, 2, 3, 4, 5, 6, 8, 9, 10)]
