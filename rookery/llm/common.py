@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or an own one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or an own one where it is unset and all run in one process."""
     found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not found:
         found = "file://" + tempfile.mkdtemp(prefix="rookery-")
         spark.conf.set("spark.checkpoint.dir", found)
@@ -39,6 +41,14 @@ def col(df: DataFrame, name: str):
     return df["`" + name.replace("`", "``") + "`"]
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def narrow(df: DataFrame, **names: str) -> DataFrame:
     """Only the columns an operator needs, under its own names: extra columns can't clash with them."""
     return df.select([col(df, name).alias(alias) for alias, name in names.items()])

@@ -1,4 +1,6 @@
 import random
+import re
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -75,6 +77,14 @@ def test_components_of_paths_and_stars(spark):
     assert components.connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0
 
 
+def test_planes_tell_six_shared_bytes_from_five():
+    planes = [set(c) for c in simhash.PLANES]
+    for n in range(9):
+        for spoiled in combinations(range(8), n):
+            shared = sum(not c & {*spoiled} for c in planes)
+            assert shared >= 3 if n <= 2 else shared <= 1
+
+
 def test_simhash_edges(odd, none):
     got = simhash.near_duplicates(odd).collect()
     assert len(got) == odd.count()
@@ -82,8 +92,76 @@ def test_simhash_edges(odd, none):
     assert all(r.fp & (1 << 64) - 1 == want[r.doc_id] for r in got if r.doc_id in want)
     assert {r.component_id for r in got if r.fp == 0} == {0}
     assert simhash.near_duplicates(none).count() == 0
-    kept = simhash.keep_first(odd, simhash.near_duplicates(odd))
-    assert kept.columns == odd.columns and kept.where("doc_id in (0, 1, 2, 3)").count() == 1
+
+
+def slow_words(text):
+    text = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    return [w for w in re.split(r"[\x20\x09-\x0D]+", text) if w]
+
+
+def slow_similar(texts):
+    """Components of equal word sequences and of Jaccard similarity 0.8 or more, by all pairs."""
+    seen = {i: slow_words(t) for i, t in texts.items()}
+    sets = {i: {tuple(w[j : j + 5]) for j in range(len(w) - 4)} for i, w in seen.items()}
+    ids = sorted(texts, key=lambda i: len(sets[i]))
+    links = []
+    for n, a in enumerate(ids):
+        for b in ids[n + 1 :]:
+            if 0.8 * len(sets[b]) > len(sets[a]):
+                break
+            both = len(sets[a] & sets[b])
+            if seen[a] == seen[b] or sets[a] and both >= 0.8 * (len(sets[a]) + len(sets[b]) - both):
+                links.append((a, b))
+    found = roots_of(links)
+    return {i: found.get(i, i) for i in texts}
+
+
+def test_similar_documents_equal_all_pairs(spark, docs, texts):
+    got = {r.doc_id: r.head_id for r in simhash.similar_documents(docs).collect()}
+    want = slow_similar(texts)
+    assert got.keys() == want.keys() and len({*want.values()}) < len(want)
+    assert sum(got[i] != want[i] for i in want) <= 0.01 * len(want)
+    kept = simhash.keep_one(docs, simhash.similar_documents(docs))
+    assert {r.doc_id for r in kept.select("doc_id").collect()} == {*got.values()} and kept.count() == len({*got.values()})
+
+
+def test_crowds_of_similar_documents_equal_all_pairs(spark):
+    """Families of a template a little below the threshold, with near copies among them; families far above it; copies."""
+    dice = random.Random(4)
+    word = lambda: f"w{dice.randrange(10**6)}"
+    base, rows = [word() for _ in range(200)], []
+    for _ in range(150):
+        own = [*base]
+        for at in dice.sample(range(5, 120), 4):
+            own[at] = word()
+        rows.append(own)
+    for i in range(0, 150, 3):
+        own = [*rows[i]]
+        own[160 + i % 30] = word()
+        rows.append(own)
+    base = [word() for _ in range(150)]
+    for i in range(120):
+        own = [*base]
+        own[i] = word()
+        rows.append(own)
+    rows += [rows[0]] * 200 + [[word() for _ in range(90)] for _ in range(60)]
+    texts = {i: " ".join(w) for i, w in enumerate(rows)}
+    docs = spark.createDataFrame([*texts.items()], "doc_id long, text string").repartition(5)
+    assert {r.doc_id: r.head_id for r in simhash.similar_documents(docs).collect()} == slow_similar(texts)
+
+
+def test_similar_edges(odd, none):
+    """Rows with a null id count; of repeated rows, and of rows of one id, one of the group stays."""
+    awkward = odd.selectExpr("*", "1 as place", "2 as turn", "3 as head", "4 as root", "5 as node", "6 as w1")
+    found = simhash.similar_documents(awkward)
+    assert found.count() == odd.count()
+    kept = simhash.keep_one(awkward, found)
+    assert kept.columns == awkward.columns
+    rows = kept.collect()
+    assert sum(not slow_words(r.text) for r in rows) == 1
+    assert len(rows) == len({(r.head_id, r.head_hash) for r in found.collect()})
+    assert [r.doc_id for r in rows if r.text and r.text.startswith("another")] == [8]
+    assert simhash.similar_documents(none).count() == 0 and simhash.keep_one(none, simhash.similar_documents(none)).count() == 0
 
 
 def exact(vectors, queries, k):
