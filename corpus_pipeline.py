@@ -27,9 +27,11 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of near-duplicates."""
-    found = cut(simhash.near_duplicates(docs), "near")
-    return simhash.keep_first(docs, found)
+    """One document of each group that links of Jaccard similarity 0.8 or more, on sets of five-word shingles, connect: the least by id and hash of its text.
+
+    Null, empty and wordless texts are one group; a null id is the least; of repeated rows one stays. Long texts are compared whole.
+    """
+    return simhash.keep_one(docs, cut(simhash.similar_documents(docs), "near"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
