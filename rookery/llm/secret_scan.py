@@ -1,6 +1,6 @@
 """Secret scans: fixed patterns, and a battery of randomness tests for what no pattern names.
 
-Candidates are runs of at least 20 characters of the base-64 alphabets. The encoding is the smallest of the known alphabets that holds
+Candidates are runs of at least 20 characters of the base-64 alphabets, or pieces of them (candidate_runs). The encoding is the smallest of the known alphabets that holds
 the run. Chi-squared uniformity over that alphabet gives a p-value under "this is ordinary text": prose is not uniform, so its statistic
 is noncentral chi-squared with a noncentrality in proportion to the length; a small value speaks for randomness, and the more the longer
 the run. A runs test about the alphabet's middle and a lag-one serial correlation test veto runs whose order is not random. Discoveries
@@ -20,11 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rookery.llm.common import col, cut, narrow
+from rookery.llm.common import col, cut, fresh, narrow
 
 KINDS = ["assign", "access", "hex", "random"]
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS, HEX, RUN = re.compile(r"AKIA[A-Z0-9]+"), re.compile(r"[0-9a-f]{24,}"), re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
+WHOLE, BETWEEN_SLASHES, BETWEEN_MARKS = re.compile(r"[^=]+={0,2}"), re.compile(r"[^/=]+={0,2}"), re.compile(r"[A-Za-z0-9]+={0,2}")
 #: Alphabets by size, and what a character of ordinary text adds to the noncentrality in each: size times the chance that two characters agree, less one.
 ALPHABETS = [
     ("0123456789abcdef", 0.6),
@@ -92,15 +93,42 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def candidate_runs(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
-    """(start, end, length band, bin of the p-value) of runs that no base span touches."""
-    out = []
+def _left(start: int, end: int, taken: list[tuple[int, int]], at: int) -> tuple[list[tuple[int, int]], int]:
+    """The parts of start to end outside the disjoint, ascending spans taken, of which those before number `at` end before start; the next such number."""
+    while at < len(taken) and taken[at][1] <= start:
+        at += 1
+    parts, k = [], at
+    while k < len(taken) and taken[k][0] < end:
+        parts.append((start, taken[k][0]))
+        start, k = taken[k][1], k + 1
+    return [*parts, (start, end)], at
+
+
+def candidate_runs(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """(start, end, length band, bin of the p-value) of the runs that the base spans leave; both lists are walked once.
+
+    A run may be one secret, or a path or name that holds some: it is read whole, as the pieces between slashes, and as those between all
+    separators. The reading with the least p-value counts; its p-values are multiplied by the number of readings (Bonferroni).
+    """
+    taken: list[tuple[int, int]] = []
+    for a, _, b in base:
+        if taken and a <= taken[-1][1]:
+            taken[-1] = (taken[-1][0], max(b, taken[-1][1]))
+        else:
+            taken.append((a, b))
+    out, at = [], 0
     for m in RUN.finditer(text):
-        a, b = m.span()
-        if not any(s < b and a < e for s, _, e in taken):
-            p = text_p_value(m[0])
-            band = sum(b - a >= low for low in BANDS) - 1
-            out.append((a, b, band, min(BINS, max(0, math.floor(-10 * math.log10(max(p, 1e-300)))))))
+        parts, at = _left(*m.span(), taken, at)
+        for a, b in parts:
+            readings = []
+            for split in (WHOLE, BETWEEN_SLASHES, BETWEEN_MARKS):
+                found = [x.span() for x in split.finditer(text, a, b) if x.end() - x.start() >= BANDS[0]]
+                if found and found not in readings:
+                    readings.append(found)
+            tested = [[(text_p_value(text[x:y]) * len(readings), x, y) for x, y in spans] for spans in readings]
+            for p, x, y in min(tested, key=lambda spans: min(spans)[0], default=[]):
+                band = sum(y - x >= low for low in BANDS) - 1
+                out.append((x, y, band, min(BINS, max(0, math.floor(-10 * math.log10(min(1.0, max(p, 1e-300))))))))
     return out
 
 
@@ -156,9 +184,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate:
 def redact(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[secret]") -> DataFrame:
     """docs with the found spans of each document replaced by mark (overlapping ones by one mark); other columns and rows as they are.
 
-    Rows with a null id can't be matched and stay as they are. Spans are matched by id and a hash of the text, so rows that share an id
-    share their spans only if their texts are the same.
+    Spans are matched by id, null like any other, and a hash of the text, so rows that share an id share their spans only if their texts
+    are the same. Null and empty texts stay as they are; repeated rows are all masked. Columns of docs may have any names.
     """
+
     @F.pandas_udf("string")
     def masked(texts: pd.Series, spans: pd.Series) -> pd.Series:
         out = []
@@ -174,7 +203,9 @@ def redact(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col:
             out.append("".join([*parts, text[at:]]))
         return pd.Series(out, dtype=object)
 
-    spans = found.where(F.size("found") > 0).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("found").alias("__found")).dropDuplicates(["__id", "__hash"])
-    both = docs.join(spans.hint("merge"), (col(docs, id_col) == spans["__id"]) & (F.xxhash64(col(docs, text_col)) == spans["__hash"]), "left")
-    changed = F.coalesce(masked(F.when(F.col("__found").isNotNull(), col(docs, text_col)), F.col("__found")), col(docs, text_col))
-    return both.select(*((changed if c == text_col else col(docs, c)).alias(c) for c in docs.columns))
+    place, spans = fresh(docs, "place"), fresh(docs, "spans")
+    held = found.where(F.size("found") > 0).select(F.struct(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")).alias("other"), F.col("found").alias(spans)).dropDuplicates(["other"])
+    marked = docs.withColumn(place, F.struct(col(docs, id_col).alias("id"), F.xxhash64(col(docs, text_col)).alias("hash")))
+    both = marked.join(held.withColumnRenamed("other", fresh(marked, "other")).hint("merge"), F.col(place) == F.col(fresh(marked, "other")), "left")
+    changed = F.coalesce(masked(F.when(F.col(spans).isNotNull(), col(both, text_col)), F.col(spans)), col(both, text_col))
+    return both.select(*((changed if c == text_col else col(both, c)).alias(c) for c in docs.columns))

@@ -1,8 +1,14 @@
 import hashlib
+import math
 import random
 import re
+import statistics
+import string
+import time
 
+import numpy as np
 import pytest
+import xxhash
 
 from rookery.llm import line_dedup, quality, secret_scan, substring_dedup
 from rookery.llm.queries import QUERIES
@@ -103,6 +109,101 @@ def test_random_runs_are_found_and_words_are_not(spark):
     assert sum(got[i] != "" for i in range(60, 360)) == 0 and got[1000] == "" and got[1001] == ""
 
 
+def slow_p_value(run):
+    """Uniformity as noncentral chi-squared (by moments), vetoed by the runs test and the serial correlation, each written out anew."""
+    alphabets = [(string.hexdigits[:16], 0.6), ("0123456789ABCDEF", 0.6), (string.ascii_lowercase, 0.72), (string.ascii_uppercase + "234567", 1.0), (string.digits + string.ascii_lowercase, 1.3), (string.digits + string.ascii_uppercase, 1.3)]
+    alphabets += [(string.ascii_uppercase + string.ascii_lowercase + string.digits + more, extra) for more, extra in (("", 2.8), ("+/", 2.9), ("-_", 2.9))]
+    run = run.rstrip("=")
+    held = [(a, e) for a, e in alphabets if {*run} <= {*a}]
+    if not held:
+        return 1.0
+    alphabet, extra = held[0]
+    n, k, x = len(run), len(alphabet), np.array([alphabet.index(c) for c in run], float)
+    up = x >= k / 2
+    if up.all() or not up.any():
+        return 1.0
+    normal = statistics.NormalDist()
+    both = lambda z: 2 * normal.cdf(-abs(z))
+    m = 2 * up.sum() * (~up).sum() / n + 1
+    z_runs = (1 + (up[1:] != up[:-1]).sum() - m) / math.sqrt(max((m - 1) * (m - 2) / (n - 1), 1e-9))
+    y = x - x.mean()
+    r = (y[1:] * y[:-1]).sum() / (y * y).sum() if (y * y).sum() else 1.0
+    if both(z_runs) < 1e-4 or both((r + 1 / n) * math.sqrt(n)) < 1e-4:
+        return 1.0
+    expected = n / k
+    statistic = sum((run.count(c) - expected) ** 2 / expected for c in alphabet)
+    f, lam = k - 1, n * extra
+    h = (f + lam) ** 2 / (f + 2 * lam)
+    scaled = max(statistic, 1e-9) / ((f + 2 * lam) / (f + lam)) / h
+    return normal.cdf((scaled ** (1 / 3) - (1 - 2 / (9 * h))) / math.sqrt(2 / (9 * h)))
+
+
+def test_battery_equals_a_plain_one():
+    dice = random.Random(21)
+    pools = [string.hexdigits[:16], string.ascii_lowercase, string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/", string.ascii_letters + string.digits + "-_", "aaab", "A7"]
+    for pool in pools:
+        for n in (20, 33, 64, 200):
+            run = "".join(dice.choice(pool) for _ in range(n))
+            assert secret_scan.text_p_value(run) == pytest.approx(slow_p_value(run), rel=1e-6, abs=1e-12)
+    assert secret_scan.text_p_value("+-" * 12) == 1.0
+
+
+def test_discoveries_equal_benjamini_hochberg():
+    """The accepted bins are those whose p-values (at the bin's upper end) the plain step-up procedure accepts, within each band."""
+    dice = random.Random(22)
+    counts = [(band, b, dice.randrange(1, 40 if b < 20 else 4)) for band in (0, 2) for b in dice.sample(range(80), 30)]
+    got = secret_scan.accepted_bins(counts, 0.01)
+    for band in range(len(secret_scan.BANDS)):
+        p = sorted(10 ** (-b / 10) for at, b, n in counts if at == band for _ in range(n))
+        passed = [x for i, x in enumerate(p, 1) if x <= 0.01 * i / len(p)]
+        want = {b for at, b, _ in counts if at == band and passed and 10 ** (-b / 10) <= max(passed)}
+        assert {b for at, b, _ in counts if at == band and b >= got[band]} == want
+
+
+def slow_left(text, base):
+    """The characters of runs that no base span holds, as maximal pieces."""
+    inside = [False] * len(text)
+    for m in re.finditer(r"[A-Za-z0-9+/_-]{20,}={0,2}", text):
+        inside[m.start() : m.end()] = [True] * (m.end() - m.start())
+    for a, _, b in base:
+        inside[a:b] = [False] * (b - a)
+    return inside
+
+
+def test_runs_beside_base_spans_and_in_paths():
+    dice = random.Random(23)
+    key = lambda n: "".join(dice.choice(string.ascii_letters + string.digits) for _ in range(n))
+    one, two = key(48), key(40)
+    text = f"see /v1/user-keys/{one}/and+more/{two} end"
+    found = [text[a:b] for a, b, _, p in secret_scan.candidate_runs(text, secret_scan.base_spans(text)) if p > 30]
+    assert found == [one, two]
+    text = f"{'0123456789abcdef' * 2}/{key(50)} password={key(30)} {key(60)}/{'f0' * 20}"
+    base = secret_scan.base_spans(text)
+    inside = slow_left(text, base)
+    spans = secret_scan.candidate_runs(text, base)
+    assert len(spans) >= 2 and all(all(inside[a:b]) for a, b, _, _ in spans)
+
+
+def test_scan_of_many_base_spans_is_linear():
+    text = " ".join("0123456789abcdef" * 2 for _ in range(100_000))
+    began = time.time()
+    assert secret_scan.candidate_runs(text, secret_scan.base_spans(text)) == []
+    assert time.time() - began < 5
+
+
+def test_masks_reach_null_ids_and_any_columns(spark):
+    secret = 'password = "hunter2hunter2"'
+    names = ["found", "place", "spans", "other", "id", "hash", "head", "whose", "held", "places", "__spans", "__found"]
+    docs = spark.createDataFrame([(1, f"a {secret}", *names), (None, f"b {secret}", *names), (None, None, *names), (2, "plain", *names)], "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    clean = secret_scan.redact(docs, secret_scan.scan(docs))
+    assert clean.columns == docs.columns
+    assert sorted((r.text or "", r.found) for r in clean.collect()) == [("", "found"), ('a [secret]"', "found"), ('b [secret]"', "found"), ("plain", "found")]
+    lines = "one line\nand another\nand a third"
+    docs = docs.selectExpr("doc_id", f"'{lines}' as text", *(f"`{n}`" for n in names)).where("doc_id is not null")
+    shorter = line_dedup.line_dedup(docs)
+    assert shorter.columns == docs.columns and sorted((r.doc_id, r.text, r.places) for r in shorter.collect()) == [(1, lines, "places"), (2, "", "places")]
+
+
 def test_secret_edges_and_redaction(odd, none):
     found = secret_scan.scan(odd)
     assert found.count() == odd.count() and secret_scan.scan(none).count() == 0
@@ -113,17 +214,37 @@ def test_secret_edges_and_redaction(odd, none):
     assert secret_scan.redact(none, secret_scan.scan(none)).count() == 0
 
 
+def slow_chunks(lines):
+    """Line by line: a chunk ends after a line whose rolling value over it and the line before says so, if two lines or more stand on either side; 64 at most."""
+    big = 1 << 64
+    hashes = [xxhash.xxh64_intdigest(x.encode()) for x in lines]
+    ends = []
+    for i in range(len(lines)):
+        rolled = (hashes[i] + (hashes[i - 1] * (0x9E3779B97F4A7C15 * 3 % big) if i else 0)) % big
+        rolled ^= rolled >> 29
+        if rolled % 2 == 0 and i + 1 - (ends[-1] if ends else 0) >= 2 and len(lines) - i - 1 >= 2:
+            ends.append(i + 1)
+    out, start = [], 0
+    for end in [*ends, len(lines)]:
+        while end - start > 65:
+            out.append((start, start + 64))
+            start += 64
+        out.append((start, end))
+        start = end
+    return out
+
+
 def slow_line_dedup(rows):
     """First place of each multi-line chunk stays."""
     first, out = {}, {}
     for i, text in sorted(rows):
         lines = text.split("\n")
-        for a, b in line_dedup.chunk_lines(lines):
+        for a, b in slow_chunks(lines):
             if b - a > 1 and "\n".join(lines[a:b]).strip():
                 first.setdefault("\n".join(lines[a:b]), (i, a))
     for i, text in rows:
         lines, gone = text.split("\n"), set()
-        for a, b in line_dedup.chunk_lines(lines):
+        for a, b in slow_chunks(lines):
             if b - a > 1 and "\n".join(lines[a:b]).strip() and first["\n".join(lines[a:b])] != (i, a):
                 gone |= {*range(a, b)}
         out[i] = "\n".join(x for k, x in enumerate(lines) if k not in gone)
@@ -199,21 +320,32 @@ def test_planted_passages_are_caught(spark):
     for r in got:
         if r.doc_id < 200:
             assert 100 <= r.kept_doc_id < r.doc_id and texts[r.doc_id][r.start : r.end] in passage
-        elif r.doc_id < 300 and r.kind == "line":
+        elif r.doc_id < 300 and r.kind == "paragraph":
             assert r.kept_doc_id == 200 and r.n_words == 80
 
 
-def test_lines_equal_brute_force(spark, sf, texts):
-    """Of the lines, all that exact comparison of all pairs would remove, but for what banding misses at the threshold."""
-    got = {(r.doc_id, r.start) for r in QUERIES["op10_substring_dedup"](spark, sf).where("kind = 'line'").collect()}
-    lines = []
-    for i in sorted(texts):
-        at = 0
-        for k, line in enumerate(texts[i].split("\n")):
-            w = line.lower().split()
-            if len(w) >= 20:
-                lines.append(((i, at + len(line) - len(line.lstrip())), {tuple(w[j : j + 5]) for j in range(len(w) - 4)}))
-            at += len(line) + 1
+def slow_paragraphs(text):
+    """(start, set of shingles) of lines of 20 words or more, and of runs of shorter ones with so many in all."""
+    out, run, at = [], [], 0
+    for line in [*text.split("\n"), ""]:
+        w = line.lower().split()
+        if not w or len(w) >= 20:
+            if sum(len(x) for _, x in run) >= 20:
+                out.append((run[0][0], [y for _, x in run for y in x]))
+            run = []
+        start = at + len(line) - len(line.lstrip())
+        if len(w) >= 20:
+            out.append((start, w))
+        elif w:
+            run.append((start, w))
+        at += len(line) + 1
+    return [(start, {tuple(w[j : j + 5]) for j in range(len(w) - 4)}) for start, w in out]
+
+
+def test_paragraphs_equal_brute_force(spark, sf, texts):
+    """Of the paragraphs, all that exact comparison of all pairs would remove, but for what banding misses at the threshold."""
+    got = {(r.doc_id, r.start) for r in QUERIES["op10_substring_dedup"](spark, sf).where("kind = 'paragraph'").collect()}
+    lines = [((i, start), found) for i in sorted(texts) for start, found in sorted(slow_paragraphs(texts[i]), key=lambda x: x[0])]
     up = [*range(len(lines))]
 
     def find(x):
@@ -231,6 +363,26 @@ def test_lines_equal_brute_force(spark, sf, texts):
     assert got <= want and len(got) >= 0.97 * len(want) and want
 
 
+def test_wrapped_paragraphs(spark):
+    """Near copies of a passage of short lines, between longer ones, are one paragraph each."""
+    dice = random.Random(12)
+    passage, rows = [words(9, dice).split(" ") for _ in range(12)], []
+    for i in range(6):
+        own = [[*x] for x in passage]
+        own[2 * i][4] = f"changed{i}"
+        rows.append((i, "\n".join([words(30, dice), *map(" ".join, own), words(40, dice)])))
+    got = substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).where("kind = 'paragraph'").collect()
+    assert {(r.doc_id, r.n_words, r.kept_doc_id) for r in got} == {(i, 108, 0) for i in range(1, 6)}
+
+
+def test_block_boundaries_are_the_least_of_a_window():
+    dice = np.random.default_rng(3)
+    for n, window in ((40, 20), (23, 20), (300, 7), (300, 8), (9, 3)):
+        hashes = dice.integers(0, 50 if n == 300 else 1 << 60, n, dtype=np.uint64)
+        want = {i for a in range(n - window + 1) for i in range(a, a + window) if hashes[i] == hashes[a : a + window].min()}
+        assert {*substring_dedup._least_places(hashes, window).tolist()} == want
+
+
 def test_substring_edges(odd, none):
     got = substring_dedup.repeated_passages(odd).collect()
     assert {r.doc_id for r in got} >= {7, 8, 9, 11} and all(r.doc_id is not None for r in got)
@@ -253,7 +405,7 @@ def test_families_below_the_threshold_equal_brute_force(spark):
         rows.append(own)
     sets = [{tuple(w[j : j + 5]) for j in range(len(w) - 4)} for w in rows]
     docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string").repartition(4)
-    got = {r.doc_id for r in substring_dedup.repeated_passages(docs).where("kind = 'line'").collect()}
+    got = {r.doc_id for r in substring_dedup.repeated_passages(docs).where("kind = 'paragraph'").collect()}
     up = [*range(len(rows))]
 
     def find(x):
