@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rookery.llm.common import col, cut, narrow
+from rookery.llm.common import col, cut, fresh, narrow
 
 #: Lines that the rolling hash sees; a boundary every so many lines on average; most lines of a chunk (one more, if it would stand alone).
 WINDOW, EVERY, MOST = 2, 3, 64
@@ -113,10 +113,11 @@ def remove_chunks(docs: DataFrame, removed: DataFrame, id_col: str = "doc_id", t
             out.append("\n".join([x for i, x in enumerate(lines) if i not in gone]))
         return pd.Series(out, dtype=object)
 
-    spans = removed.groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.collect_list(F.struct("first", "until")).alias("__spans"))
-    both = docs.join(spans.hint("merge"), (col(docs, id_col) == spans["__id"]) & (F.xxhash64(col(docs, text_col)) == spans["__hash"]), "left")
-    text = F.coalesce(without(F.when(F.col("__spans").isNotNull(), col(docs, text_col)), F.col("__spans")), col(docs, text_col))
-    count = [F.coalesce(F.aggregate("__spans", F.lit(0), lambda s, x: s + x["until"] - x["first"]), F.lit(0)).cast("long").alias(count_col)] if count_col else []
+    whose, held, places = (fresh(docs, n) for n in ("whose", "held", "places"))
+    spans = removed.groupBy(F.col("doc_id").alias(whose), F.col("text_hash").alias(held)).agg(F.collect_list(F.struct("first", "until")).alias(places))
+    both = docs.join(spans.hint("merge"), (col(docs, id_col) == spans[whose]) & (F.xxhash64(col(docs, text_col)) == spans[held]), "left")
+    text = F.coalesce(without(F.when(F.col(places).isNotNull(), col(docs, text_col)), F.col(places)), col(docs, text_col))
+    count = [F.coalesce(F.aggregate(F.col(places), F.lit(0), lambda s, x: s + x["until"] - x["first"]), F.lit(0)).cast("long").alias(count_col)] if count_col else []
     return both.select(*((text if c == text_col else col(docs, c)).alias(c) for c in docs.columns), *count)
 
 
@@ -124,6 +125,6 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """docs with the repeated multi-line chunks removed but for their first occurrence; see remove_chunks.
 
     Null texts stay null. Rows with a null id stay as they are and count for nothing. Rows that share an id and a text are one document
-    here: neither loses lines to the other. An empty table gives an empty one.
+    here: neither loses lines to the other. Columns of docs may have any names. An empty table gives an empty one.
     """
     return remove_chunks(docs, repeated_chunks(docs, id_col, text_col), id_col, text_col, count_col)
