@@ -22,16 +22,16 @@ WINDOW = 8
 #: name -> (condition of a bad vote, condition of a good vote), over the columns of features(); otherwise the rule abstains.
 RULES = {
     "length": ("n_words < 20", "false"),
-    "word_length": ("word_chars < 2.0 * n_words or word_chars > 15.0 * n_words", "false"),
-    "symbols": ("n_symbols > 0.25 * n_words", "n_symbols <= 0.02 * n_words and n_words >= 20"),
-    "marks": ("n_marks > 0.2 * n_words", "false"),
-    "letters": ("n_letters < 0.75 * word_chars", "n_letters >= 0.92 * word_chars and n_words >= 20"),
-    "repeated_lines": ("n_dup_lines > 0.3 * n_lines", "false"),
-    "repeated_words": ("n_repeat_words > 0.2 * n_words", "false"),
-    "stutter": ("n_stutter > 0.3 * n_words", "false"),
-    "capitals": ("n_upper > 0.4 * n_letters and n_words >= 10", "n_upper <= 0.2 * n_letters and n_letters > 0"),
-    "exclamation": ("n_exclaim > 0.2 * n_words", "false"),
-    "sentences": ("n_stops < 0.01 * n_words and n_words >= 100", "n_stops between 0.03 * n_words and 0.4 * n_words and n_symbols <= 0.05 * n_words"),
+    "word_length": ("word_chars < 2 * n_words or word_chars > 15 * n_words", "false"),
+    "symbols": ("4 * n_symbols > n_words", "50 * n_symbols <= n_words and n_words >= 20"),
+    "marks": ("5 * n_marks > n_words", "false"),
+    "letters": ("4 * n_letters < 3 * word_chars", "25 * n_letters >= 23 * word_chars and n_words >= 20"),
+    "repeated_lines": ("10 * n_dup_lines > 3 * n_lines", "false"),
+    "repeated_words": ("5 * n_repeat_words > n_words", "false"),
+    "stutter": ("10 * n_stutter > 3 * n_words", "false"),
+    "capitals": ("5 * n_upper > 2 * n_letters and n_words >= 10", "5 * n_upper <= n_letters and n_letters > 0"),
+    "exclamation": ("5 * n_exclaim > n_words", "false"),
+    "sentences": ("100 * n_stops < n_words and n_words >= 100", "100 * n_stops between 3 * n_words and 40 * n_words and 20 * n_symbols <= n_words"),
 }
 
 
@@ -124,7 +124,7 @@ def fit(voted: DataFrame, names: list[str], rounds: int = 15, weight: float = 20
 
     The prior stays within 0.05 and 0.95, and no vote is taken as evidence against what it says, so the classes can't swap.
     """
-    patterns = cut(voted.groupBy(*(f"v_{n}" for n in names)).agg(F.count(F.lit(1)).alias("n")).coalesce(1), "patterns")
+    patterns = cut(voted.groupBy(*(f"v_{n}" for n in names)).agg(F.count(F.lit(1)).alias("n")), "patterns")
     start = model = Model(0.85, ((0.02, 0.38, 0.6),) * len(names), ((0.4, 0.4, 0.2),) * len(names))
     for _ in range(rounds):
         good, bad = F.col("n") * F.col("p"), F.col("n") * (1 - F.col("p"))
