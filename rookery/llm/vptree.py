@@ -237,8 +237,18 @@ def top_trees(points: DataFrame, shard: int) -> dict[int, TopTree]:
     return out
 
 
-def stored_trees(points: DataFrame, tops: dict[int, TopTree], shard: int) -> DataFrame:
-    """cell, dims, part, tree: one row for each shard."""
+def _pieces(rows: DataFrame, most: int) -> dict[tuple[int, int], int]:
+    """(cell, dims) -> in how many pieces its rows go, of those with more than `most`: no more entries than cells, or than rows / most."""
+    counts = rows.groupBy("cell", "dims").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).collect()
+    return {(cell, dims): math.ceil(n / most) for cell, dims, n in counts}
+
+
+def _piece_counts(batch: pa.RecordBatch, pieces: dict[tuple[int, int], int]) -> np.ndarray:
+    return np.array([pieces.get(k, 1) for k in zip(batch.column("cell").to_pylist(), batch.column("dims").to_pylist(), strict=True)], np.int64)
+
+
+def stored_trees(points: DataFrame, tops: dict[int, TopTree], shard: int) -> tuple[DataFrame, dict[tuple[int, int], int]]:
+    """cell, dims, part, tree: one row for each shard; and the numbers of shards of the cells that have several."""
     kind = points.schema["vector"].dataType.simpleString()
 
     def routed(batches):
@@ -250,8 +260,13 @@ def stored_trees(points: DataFrame, tops: dict[int, TopTree], shard: int) -> Dat
             yield pa.RecordBatch.from_arrays([pa.array(cells), *batch.columns], ["cell", *batch.schema.names])
 
     placed = cut(points.mapInArrow(routed, f"cell int, vector {kind}, dims int, first long, ids array<long>"), "placed")
-    counts = placed.groupBy("cell", "dims").agg(F.ceil(F.count(F.lit(1)) / shard).cast("int").alias("parts"))
-    parted = placed.join(counts, ["cell", "dims"]).withColumn("part", F.pmod(F.xxhash64("vector", F.lit(1)), "parts").cast("int")).drop("parts")
+    parts = _pieces(placed, shard)
+
+    def parted(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(batch.column("part").to_numpy() % _piece_counts(batch, parts), pa.int32())], batch.schema.names)
+
+    numbered = placed.select("*", F.pmod(F.xxhash64("vector", F.lit(1)), F.lit(1 << 30)).cast("int").alias("part")).mapInArrow(parted, f"cell int, vector {kind}, dims int, first long, ids array<long>, part int")
 
     def built(table: pa.Table) -> pa.Table:
         dims = table.column("dims")[0].as_py()
@@ -264,9 +279,9 @@ def stored_trees(points: DataFrame, tops: dict[int, TopTree], shard: int) -> Dat
         np.savez(held, points=flat, first=tree.first, nodes=tree.nodes, bounds=tree.bounds, order=tree.order, ids=ids.flatten().to_numpy(), starts=np.concatenate([[0], np.cumsum(ids.value_lengths().to_numpy())]))
         return pa.table({"cell": table.column("cell")[:1], "dims": table.column("dims")[:1], "part": table.column("part")[:1], "tree": pa.array([held.getvalue()], pa.binary())})
 
-    trees = cut(parted.groupBy("cell", "dims", "part").applyInArrow(built, "cell int, dims int, part int, tree binary"), "trees")
+    trees = cut(numbered.groupBy("cell", "dims", "part").applyInArrow(built, "cell int, dims int, part int, tree binary"), "trees")
     drop(placed)
-    return trees
+    return trees, parts
 
 
 def _loaded(data: bytes) -> tuple[VantageTree, np.ndarray, np.ndarray]:
@@ -276,12 +291,27 @@ def _loaded(data: bytes) -> tuple[VantageTree, np.ndarray, np.ndarray]:
         return tree, held["ids"], held["starts"]
 
 
-def _search(trees: DataFrame, asked: DataFrame, k: int, relax: float) -> DataFrame:
+def _search(trees: DataFrame, parts: dict[tuple[int, int], int], asked: DataFrame, k: int, relax: float) -> DataFrame:
     """query_id, vec_id, score of what the queries (query_id, vector, dims, cell, radius) find in their cells; a block of queries goes to each shard of a cell."""
-    blocks = asked.groupBy("cell", "dims").agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("blocks"))
-    parts = trees.groupBy("cell", "dims").agg(F.max("part").alias("last"))
-    left = trees.join(blocks, ["cell", "dims"]).select("cell", "dims", "part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "tree")
-    right = asked.join(blocks, ["cell", "dims"]).join(parts, ["cell", "dims"]).select("query_id", "vector", "radius", "cell", "dims", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("part"), F.pmod(F.xxhash64("query_id"), "blocks").cast("int").alias("block"))
+    blocks = _pieces(asked, QUERIES)
+    kind = asked.schema["vector"].dataType.simpleString()
+
+    def repeated(batches):  # each shard once for each block of its cell's queries
+        for batch in batches:
+            for i, n in enumerate(_piece_counts(batch, blocks).tolist()):
+                for block in range(n):
+                    yield pa.RecordBatch.from_arrays([*batch.slice(i, 1).columns, pa.array([block], pa.int32())], [*batch.schema.names, "block"])
+
+    def sent(batches):  # each query to each shard of its cell
+        for batch in batches:
+            n = _piece_counts(batch, parts)
+            at = np.repeat(np.arange(batch.num_rows), n)
+            part = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
+            out = batch.take(pa.array(at))
+            yield pa.RecordBatch.from_arrays([*out.columns[:-1], pa.array(out.column("block").to_numpy() % _piece_counts(out, blocks), pa.int32()), pa.array(part, pa.int32())], [*batch.schema.names, "part"])
+
+    left = trees.mapInArrow(repeated, "cell int, dims int, part int, tree binary, block int")
+    right = asked.select("query_id", "vector", "radius", "cell", "dims", F.pmod(F.xxhash64("query_id"), F.lit(1 << 30)).cast("int").alias("block")).mapInArrow(sent, f"query_id long, vector {kind}, radius double, cell int, dims int, block int, part int")
     keys = ["cell", "dims", "part", "block"]
 
     def searched(one: pa.Table, two: pa.Table) -> pa.Table:
@@ -316,7 +346,7 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, rela
     first = held.withColumn("n", F.row_number().over(Window.partitionBy("vector").orderBy("id"))).where(F.col("n") <= k + 1)  # cut down before the shuffle as well
     points = cut(first.groupBy("vector").agg(F.array_sort(F.collect_list("id")).alias("ids")).select("vector", F.size("vector").alias("dims"), F.get("ids", F.lit(0)).alias("first"), "ids"), "points")
     tops = top_trees(points, shard)
-    trees = stored_trees(points, tops, shard)
+    trees, parts = stored_trees(points, tops, shard)
     drop(points)
     asked = usable(queries, id_col, vector_col).groupBy("id").agg(F.min("vector").alias("vector")).select(F.col("id").alias("query_id"), "vector", F.size("vector").alias("dims"))
     kind = asked.schema["vector"].dataType.simpleString()
@@ -330,7 +360,7 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, rela
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells)], ["query_id", "vector", "dims", "own"])
 
     asked = cut(asked.mapInArrow(own, f"query_id long, vector {kind}, dims int, own int"), "asked")
-    near = cut(_search(trees, asked.select("query_id", "vector", "dims", F.col("own").alias("cell"), F.lit(float("inf")).alias("radius")), k, relax), "near")
+    near = cut(_search(trees, parts, asked.select("query_id", "vector", "dims", F.col("own").alias("cell"), F.lit(float("inf")).alias("radius")), k, relax), "near")
     if not tops:
         return _best(near, k)
     reach = _best(near, k).where(F.col("rank") == k).select("query_id", F.col("score").alias("radius"))
@@ -347,4 +377,4 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, rela
                     yield pa.RecordBatch.from_arrays([part.column("query_id"), part.column("vector"), part.column("dims"), pa.array(cells[new]), part.column("radius")], ["query_id", "vector", "dims", "cell", "radius"])
 
     more = cut(further.mapInArrow(others, f"query_id long, vector {kind}, dims int, cell int, radius double"), "further")
-    return _best(near.unionAll(_search(trees, more, k, relax)), k)
+    return _best(near.unionAll(_search(trees, parts, more, k, relax)), k)
