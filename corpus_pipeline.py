@@ -1,6 +1,7 @@
 """From raw documents to packed sequences: five operators, one after another, each on what its predecessor kept.
 
-What is joined with the documents grows with them and is never broadcast.
+What is joined with the documents grows with them and is never broadcast. No stage reads columns but doc_id, text and n_chars, so others
+may have any names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -13,13 +14,19 @@ from rookery.llm.common import col, cut
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules keep; rows that share an id are kept if one of them is."""
+    """Documents that the rules keep; rows that share an id are kept if one of them is.
+
+    A null id is an id like any other here. Null, empty and wordless texts fail and go; long texts are judged whole; repeated rows alike.
+    """
     kept = quality.judge(docs).where("kept").selectExpr("doc_id as __kept").distinct().hint("merge")
     return docs.join(kept, col(docs, "doc_id").eqNullSafe(kept["__kept"]), "left_semi")
 
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines of chunks that stand elsewhere first; n_chars follows the text."""
+    """All documents, without the lines of chunks that stand elsewhere first; n_chars follows the text.
+
+    Rows with a null id or text stay as they are, and empty texts; a text that loses all lines is empty. Repeated rows count as one document.
+    """
     from pyspark.sql import functions as F
 
     shorter = line_dedup.line_dedup(docs)
@@ -35,7 +42,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with a mark in place of each secret; n_chars follows the text."""
+    """All documents, with a mark in place of each secret; n_chars follows the text.
+
+    Rows with a null id are masked like any; null and empty texts stay as they are; repeated rows are all masked.
+    """
     from pyspark.sql import functions as F
 
     clean = secret_scan.redact(docs, secret_scan.scan(docs))
@@ -43,7 +53,10 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents, packed into sequences of at most 1024 tokens."""
+    """The pieces of all documents, packed into sequences of at most 1024 tokens.
+
+    A null or empty text is its end id alone; repeated rows and rows with a null id are packed like any; only long texts are cut.
+    """
     return packing.best_fit_packing(docs, tokens.path("byte_bpe_50k.json"), tokens.PATTERN, capacity=1024, end_id=2)
 
 
