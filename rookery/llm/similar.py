@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rookery.llm.common import cut
+from rookery.llm.components import connected_components
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Buckets that count shingles; side of a cell of comparisons.
@@ -106,7 +107,7 @@ def _prefixes(lines: DataFrame, similarity: float) -> DataFrame:
 
 
 def similar_apart(lines: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (src, dst) of (node, text, root) with different roots: all at least that similar, and some that are not.
+    """Pairs (a, b) with their roots (r, s) of (node, text, root) with different roots: all at least that similar, and some that are not; tally: rare shingles that they share.
 
     Similar sets share one of their rarest members, and from the first shared one on both have enough left (prefix and position filter).
     The members under one shingle are compared in cells of BLOCK by BLOCK.
@@ -119,4 +120,24 @@ def similar_apart(lines: DataFrame, similarity: float) -> DataFrame:
     two = parts.select("token", F.col("at").alias("at2"), F.col("size").alias("size2"), F.col("node").alias("b"), F.col("root").alias("s"), F.col("part").alias("other"), every.alias("part"))
     share = similarity / (1 + similarity)
     near = f"r <> s and (size < size2 or size = size2 and a < b) and size >= {similarity}D * size2 - 1e-9D and least(size - at, size2 - at2) >= {share}D * (size + size2) - 1e-9D"
-    return one.join(two, ["token", "part", "other"]).where(near).select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"))
+    return one.join(two, ["token", "part", "other"]).where(near).groupBy("a", "b", "r", "s").agg(F.count(F.lit(1)).alias("tally"))
+
+
+def links_apart(lines: DataFrame, links: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """links (src, dst), and the links between lines (node, text, root; root: of the components of links) that connect components.
+
+    Of each line and each larger component only the pair that shares most is verified at first, since one link joins the two; what is
+    still apart then is verified pair by pair, so no link between components is lost.
+    """
+    found = cut(similar_apart(lines, similarity), "apart")
+    sizes = lines.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
+    both = found.join(sizes.select(F.col("root").alias("r"), F.col("n").alias("nr")), "r").join(sizes.select(F.col("root").alias("s"), F.col("n").alias("ns")), "s")
+    up = F.expr("nr < ns or nr = ns and r < s")
+    turned = both.select(F.when(up, F.struct(F.col("a").alias("one"), F.col("b").alias("two"), F.col("s").alias("root"))).otherwise(F.struct(F.col("b").alias("one"), F.col("a").alias("two"), F.col("r").alias("root"))).alias("p"), "tally")
+    best = turned.groupBy("p.one", "p.root").agg(F.max(F.struct("tally", "p.two"))["two"].alias("two"))
+    ordered = lambda df, a, b: df.select(F.least(a, b).alias("src"), F.greatest(a, b).alias("dst"))
+    more = cut(links.union(verified(ordered(best, "one", "two"), texts, similarity)), "more_links")
+    roots = cut(connected_components(more), "roots")
+    of = lambda name, end: roots.select(F.col("node").alias(end), F.col("root").alias(name))
+    rest = found.select("a", "b").join(of("ra", "a"), "a", "left").join(of("rb", "b"), "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b"))
+    return more.union(verified(ordered(rest, "a", "b"), texts, similarity))

@@ -1,15 +1,16 @@
 """Substring dedup by paragraph MinHash banding.
 
-Two kinds of paragraphs: lines of at least `least` words, and blocks that the words themselves delimit (a boundary wherever the hash of
-three words is least within `window` places), so that a passage holds the same blocks wherever it stands, also within long lines and
-across them. Lines have `bands` keys of `rows` MinHash values of five-word shingles each; a block has one key, a hash of its words.
+A paragraph is a line of at least `least` words, or a run of shorter lines (wrapped text; it ends at a longer or a blank line) that has so
+many words in all. It has `bands` keys of `rows` MinHash values of five-word shingles each. Paragraphs that share a key are joined and
+verified by exact Jaccard similarity; what is linked forms components, and in each all but the first occurrence (by document id and
+place) are removals. With 5 bands of 2 a pair at similarity 0.8 shares a key with probability 0.994, at 0.9 with 0.9998.
 
-Paragraphs that share a key are joined and verified on their texts: lines by exact Jaccard similarity, blocks by equality. Linked
-lines form components; in each, all but the first occurrence (by document id and place) are removals, and likewise blocks. Adjacent
-removed blocks count from `passage` words on. With 6 bands of 3 a pair of lines at similarity 0.8 shares a key with probability 0.986,
-at 0.9 with 0.9996.
+Added to the method, since passages also stand inside longer lines, where no paragraph begins or ends: blocks, which the words themselves
+delimit (a boundary wherever the hash of three words is least within `window` places), so that a passage holds the same blocks wherever it
+stands. A block has one key, a hash of its words, and is verified by a further hash of 128 bits; all but the first occurrence are removals, where adjacent
+ones have `passage` words or more. Their spans say "block".
 
-Within a key each line is compared with two pivots, the least and the greatest; what that joins is one component. Lines of one key that
+Within a key each paragraph is compared with two pivots, the least and the greatest; what that joins is one component. Lines of one key that
 are still in different components are then compared pair by pair, where the key has at most CROWD members. Members of larger ones
 (families of lines that resemble each other less than the threshold) are first compared with PIVOTS more of each key; those then still
 apart are joined exactly, on the rarest of their shingles: each pair of them that is similar enough is found, and pairs that are proven
@@ -18,7 +19,6 @@ too unlike by sizes and places of shared shingles are never compared.
 
 from __future__ import annotations
 
-import math
 import re
 
 import numpy as np
@@ -30,23 +30,18 @@ from pyspark.sql import functions as F
 
 from rookery.llm.common import cut, drop, narrow
 from rookery.llm.components import connected_components
+from rookery.llm.similar import ODD, SHINGLE, SIMILARITY, links_apart, mixed, shingle_hashes, verified, word_hashes
 
-SHINGLE, SIMILARITY, LEAST, WINDOW, PASSAGE, BANDS, ROWS = 5, 0.8, 20, 20, 16, 6, 3
-#: Members of a key of lines that are compared pair by pair; pivots of larger keys; buckets that count shingles; side of a cell of comparisons.
-CROWD, PIVOTS, BUCKETS, BLOCK = 24, 4, 1 << 18, 1024
+LEAST, WINDOW, PASSAGE, BANDS, ROWS = 20, 20, 16, 5, 2
+#: Members of a key of lines that are compared pair by pair; pivots of larger keys.
+CROWD, PIVOTS = 24, 4
 WORD = re.compile(r"\S+")
-_DICE = np.random.default_rng(7)
-_ODD = _DICE.integers(1 << 62, (1 << 63) - 1, 128, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_ADD = _DICE.integers(1, 1 << 63, 128, dtype=np.uint64)
+_ADD = np.random.default_rng(11).integers(1, 1 << 63, 128, dtype=np.uint64)
 _BASE = 0x9E3779B97F4A7C15
 _BACK = pow(_BASE, -1, 1 << 64)
-_TOP = np.uint64((1 << 64) - 1)
-_WORDS: dict[str, int] = {}
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(29))
+_TOP = np.uint32((1 << 32) - 1)
+#: MinHash orders, on the upper halves of shingle hashes: an odd factor and a term each.
+_ODD32, _ADD32 = (ODD[16:80] >> np.uint64(16)).astype(np.uint32) | np.uint32(1), (_ADD[:64] >> np.uint64(16)).astype(np.uint32)
 
 
 def _powers(base: int, n: int, kept: dict = {}) -> np.ndarray:  # noqa: B006
@@ -57,24 +52,29 @@ def _powers(base: int, n: int, kept: dict = {}) -> np.ndarray:  # noqa: B006
     return kept[base][:n]
 
 
-def word_hashes(words: list[str]) -> np.ndarray:
-    if len(_WORDS) > 500_000:
-        _WORDS.clear()
-    new = set(words).difference(_WORDS)
-    _WORDS.update((w, xxhash.xxh64_intdigest(w.encode())) for w in new)
-    return np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
+def _least_places(hashes: np.ndarray, window: int) -> np.ndarray:
+    """Places whose hash is the least of some `window` neighbours: those where the greatest least of the windows they stand in is theirs."""
+
+    def sliding(x: np.ndarray, of) -> np.ndarray:
+        wide, left = 1, window
+        while 2 * wide <= left:
+            x, wide = of(x[:-wide], x[wide:]), 2 * wide
+        return of(x[: len(x) - (left - wide)], x[left - wide :]) if left > wide else x
+
+    edge = np.zeros(window - 1, np.uint64)
+    return np.flatnonzero(sliding(np.concatenate([edge, sliding(hashes, np.minimum), edge]), np.maximum) == hashes)
 
 
 def paragraphs(text: str, least: int = LEAST, window: int = WINDOW, bands: int = BANDS, rows: int = ROWS, keys: bool = True):
-    """(words, kinds, starts, ends, list of key arrays): blocks (kind 0) then lines (kind 1), as word ranges; case is ignored."""
+    """(words, kinds, starts, ends, list of key arrays): blocks (kind 0) then paragraphs (kind 1), as word ranges; case is ignored."""
     lines = [s.split() for s in text.lower().split("\n")]
     words = [w for s in lines for w in s]
     n = len(words)
     hashed = word_hashes(words)
     edges = np.array([0, n], np.int64)
     if n > window + 2:
-        three = _mixed(hashed[:-2] + hashed[1:-1] * _ODD[0] + hashed[2:] * _ODD[1])
-        picks = np.unique(np.lib.stride_tricks.sliding_window_view(three, window).argmin(1) + np.arange(len(three) - window + 1))
+        three = mixed(hashed[:-2] + hashed[1:-1] * ODD[0] + hashed[2:] * ODD[1])
+        picks = _least_places(three, window)
         apart = np.diff(picks, prepend=-9) >= 4
         edges = np.concatenate([[0], picks[apart & (picks > 0)], [n]])
     starts, ends = edges[:-1], edges[1:]
@@ -83,36 +83,43 @@ def paragraphs(text: str, least: int = LEAST, window: int = WINDOW, bands: int =
     sizes = np.fromiter(map(len, lines), np.int64, len(lines))
     line_end = np.cumsum(sizes)
     line_start = line_end - sizes
-    long = sizes >= max(least, SHINGLE)
+    least = max(least, SHINGLE)
+    wrapped = np.concatenate([[False], (sizes > 0) & (sizes < least), [False]])
+    turn = np.flatnonzero(wrapped[1:] != wrapped[:-1])  # where runs of shorter lines begin, and the lines after them
+    if len(turn):
+        first, after = turn[::2], turn[1::2]
+        alone = np.flatnonzero(~wrapped[1:-1])
+        line_start, line_end = np.concatenate([line_start[alone], line_start[first]]), np.concatenate([line_end[alone], line_end[after - 1]])
+        order = np.argsort(line_start, kind="stable")
+        line_start, line_end = line_start[order], line_end[order]
+        sizes = line_end - line_start
+    long = sizes >= least
     kinds = np.concatenate([np.zeros(len(starts), np.int8), np.ones(long.sum(), np.int8)])
     found: list[np.ndarray] = []
     if keys and n:
         sums = np.concatenate([[np.uint64(0)], np.cumsum(hashed * _powers(_BASE, n), dtype=np.uint64)])
-        found.append(_mixed((sums[ends] - sums[starts]) * _powers(_BACK, n + 1)[starts] + (ends - starts).astype(np.uint64)))
+        found.append(mixed((sums[ends] - sums[starts]) * _powers(_BACK, n + 1)[starts] + (ends - starts).astype(np.uint64)))
         if long.any():
-            shingles = hashed[: n - SHINGLE + 1].copy()
-            for j in range(1, SHINGLE):
-                shingles += hashed[j : n - SHINGLE + 1 + j] * _ODD[j + 1]
-            shingles = _mixed(shingles)
+            shingles = shingle_hashes(hashed)
             cuts = np.stack([line_start[long], line_end[long] - SHINGLE + 1], 1).ravel()
-            padded = np.append(shingles, np.uint64(0))
+            padded = np.append((shingles >> np.uint64(32)).astype(np.uint32), np.uint32(0))
             step = max(1, 200_000 // len(padded))
             least_of = np.empty((bands * rows, long.sum()), np.uint64)
             for k in range(0, bands * rows, step):
-                ordered = padded * _ODD[16 + k : 16 + min(k + step, bands * rows), None] + _ADD[k : min(k + step, bands * rows), None]
+                ordered = padded * _ODD32[k : min(k + step, bands * rows), None] + _ADD32[k : min(k + step, bands * rows), None]
                 ordered[:, -1] = _TOP
                 least_of[k : k + step] = np.minimum.reduceat(ordered, cuts, axis=1)[:, ::2]
             least_of = least_of.reshape(bands, rows, -1)
             key = np.repeat(_ADD[64 : 64 + bands, None], long.sum(), axis=1)
             for r in range(rows):
-                key = _mixed(key * _ODD[100] + least_of[:, r])
+                key = mixed(key * ODD[100] + least_of[:, r])
             found.extend(key)
     return words, kinds, np.concatenate([starts, line_start[long]]), np.concatenate([ends, line_end[long]]), found
 
 
-def _unit(text_hash: int, index: np.ndarray, kinds: np.ndarray) -> np.ndarray:
-    """A paragraph's number within its document: 16 bits of the text's hash, the place, the kind."""
-    return (np.int64((text_hash & 0x7FFF) << 40) + index.astype(np.int64)) * 2 + kinds
+def _unit(starts: np.ndarray, ends: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+    """A paragraph's number within its document, in order of place: its first word, the word after its last, the kind."""
+    return (starts.astype(np.int64) << 32) + (ends.astype(np.int64) << 1) + kinds
 
 
 def _word_places(text: str, words: list[str]) -> tuple[list[int], list[int]]:
@@ -126,130 +133,55 @@ def _word_places(text: str, words: list[str]) -> tuple[list[int], list[int]]:
 
 
 def _keys(docs: DataFrame, least: int, window: int, bands: int, rows: int) -> DataFrame:
-    """key, doc_id, unit of every paragraph."""
+    """key, doc_id, version, unit of every paragraph and block."""
 
     def keyed(batches):
         for batch in batches:
             whose, units, found = [], [], []
-            for i, (text, text_hash) in enumerate(zip(batch.column("text").to_pylist(), batch.column("text_hash").to_pylist(), strict=True)):
-                _, kinds, _, _, keys = paragraphs(text or "", least, window, bands, rows)
+            for i, text in enumerate(batch.column("text").to_pylist()):
+                _, kinds, starts, ends, keys = paragraphs(text or "", least, window, bands, rows)
                 if keys:
-                    unit = _unit(text_hash, np.arange(len(kinds)), kinds)
+                    unit = _unit(starts, ends, kinds)
                     here = np.concatenate([unit[: len(keys[0])], *[unit[len(keys[0]) :]] * (len(keys) - 1)])
                     units.append(here)
                     found.append(np.concatenate(keys))
                     whose.append(np.full(len(here), i))
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), batch.column("doc_id").take(pa.array(np.concatenate(whose))), pa.array(np.concatenate(units))], ["key", "doc_id", "unit"])
+                at = pa.array(np.concatenate(whose))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), batch.column("doc_id").take(at), batch.column("version").take(at), pa.array(np.concatenate(units))], ["key", "doc_id", "version", "unit"])
 
-    return docs.mapInArrow(keyed, f"key long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, unit long")
+    return docs.mapInArrow(keyed, f"key long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, version int, unit long")
 
 
-def _texts(docs: DataFrame, wanted: DataFrame, least: int, window: int) -> DataFrame:
-    """doc_id, unit, a, b (words), start, end (code points), text (its words) of the wanted (doc_id, unit)."""
+def _cut_out(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """doc_id, version, unit, start, end (code points), t1, t2 (a 128-bit hash of the words) and, of paragraphs, text (the words) of the wanted units."""
 
     def cut_out(batches):
         for batch in batches:
-            out: list[list] = [[] for _ in range(7)]
-            for doc_id, text, text_hash, units in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "text_hash", "units")), strict=True):
-                units = [u for u in units if u >> 41 == text_hash & 0x7FFF]
-                if not units:
-                    continue
-                words, _, starts, ends, _ = paragraphs(text, least, window, keys=False)
-                first, last = _word_places(text, words)
-                for u in units:
-                    i = u >> 1 & (1 << 40) - 1
-                    a, b = int(starts[i]), int(ends[i])
-                    for column, x in zip(out, (doc_id, u, a, b, first[a], last[b - 1], " ".join(words[a:b])), strict=True):
-                        column.append(x)
-            kinds = [batch.schema.field("doc_id").type, pa.int64(), *[pa.int32()] * 4, pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], ["doc_id", "unit", "a", "b", "start", "end", "text"])
-
-    listed = wanted.groupBy("doc_id").agg(F.collect_set("unit").alias("units"))
-    return docs.join(listed, "doc_id").select("doc_id", "text_hash", "units", "text").mapInArrow(cut_out, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, unit long, a int, b int, start int, end int, text string")
-
-
-def jaccard(a: str, b: str) -> float:
-    """Of the sets of five-word shingles."""
-    x, y = ({tuple(w[i : i + SHINGLE]) for i in range(len(w) - SHINGLE + 1)} for w in (a.split(" "), b.split(" ")))
-    return len(x & y) / len(x | y) if x and y else float(a == b)
-
-
-def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """Those of the pairs (src, dst) whose texts are at least that similar."""
-
-    @F.pandas_udf("double")
-    def similar(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([jaccard(x, y) for x, y in zip(a, b, strict=True)])
-
-    one = texts.select(F.col("node").alias("src"), F.col("text").alias("a"))
-    two = texts.select(F.col("node").alias("dst"), F.col("text").alias("b"))
-    return pairs.distinct().join(one, "src").join(two, "dst").where(similar("a", "b") >= similarity).select("src", "dst")
-
-
-def _shingles(text: str) -> np.ndarray:
-    """Hashes of the distinct five-word shingles of a text of single spaces."""
-    hashed = word_hashes(text.split(" "))
-    out = hashed[: len(hashed) - SHINGLE + 1].copy()
-    for j in range(1, SHINGLE):
-        out += hashed[j : len(hashed) - SHINGLE + 1 + j] * _ODD[j + 1]
-    return np.unique(_mixed(out))
-
-
-def _prefixes(lines: DataFrame, similarity: float) -> DataFrame:
-    """token, at, size, short, node, root of the rarest shingles of (node, text, root), as many as a similar line must share one of.
-
-    Rarity is that of a bucket of shingles, so the counts have a bounded size; any order is exact, a good one gives few candidates.
-    short: also among those that a line shares with a similar one of at least its own size.
-    """
-
-    def counted(batches):
-        counts = np.zeros(BUCKETS, np.int64)
-        for batch in batches:
-            for text in batch.column("text").to_pylist():
-                np.add.at(counts, (_shingles(text) >> np.uint64(40)).astype(np.int64) % BUCKETS, 1)
-        at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], ["bucket", "n"])
-
-    common = np.zeros(BUCKETS, np.int64)
-    for r in lines.select("text").mapInArrow(counted, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():  # at most BUCKETS rows
-        common[r["bucket"]] = r["n"]
-
-    def cut_short(batches):
-        for batch in batches:
-            whose, columns = [], [[], [], [], []]
-            for i, text in enumerate(batch.column("text").to_pylist()):
-                tokens = _shingles(text)
-                n = len(tokens)
-                most = n - math.ceil(similarity * n - 1e-9) + 1
-                few = n - math.ceil(2 * similarity / (1 + similarity) * n - 1e-9) + 1
-                rare = tokens[np.lexsort((tokens, common[(tokens >> np.uint64(40)).astype(np.int64) % BUCKETS]))[:most]]
-                whose.append(np.full(len(rare), i))
-                for column, x in zip(columns, (rare.view(np.int64), np.arange(len(rare), dtype=np.int32), np.full(len(rare), n, np.int32), np.arange(len(rare)) < few), strict=True):
-                    column.append(x)
-            if whose:
-                at = pa.array(np.concatenate(whose))
-                yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(c)) for c in columns), batch.column("node").take(at), batch.column("root").take(at)], ["token", "at", "size", "short", "node", "root"])
-
-    kind = lines.schema["node"].dataType.simpleString()
-    return lines.select("node", "text", "root").mapInArrow(cut_short, f"token long, at int, size int, short boolean, node {kind}, root {kind}")
-
-
-def _similar_apart(lines: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (src, dst) of (node, text, root) with different roots: all at least that similar, and some that are not.
-
-    Similar sets share one of their rarest members, and from the first shared one on both have enough left (prefix and position filter).
-    The members under one shingle are compared in cells of BLOCK by BLOCK.
-    """
-    listed = cut(_prefixes(lines, similarity), "prefixes")
-    sizes = listed.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.max("short").alias("some"), F.min("root").alias("one"), F.max("root").alias("other")).where("some and n > 1 and one <> other")
-    parts = cut(listed.join(sizes.select("token", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts")), "token").withColumn("part", F.pmod(F.xxhash64("node"), "parts")), "parts")
-    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)).alias("other")
-    one = parts.where("short").select("token", "at", "size", F.col("node").alias("a"), F.col("root").alias("r"), F.col("part"), every)
-    two = parts.select("token", F.col("at").alias("at2"), F.col("size").alias("size2"), F.col("node").alias("b"), F.col("root").alias("s"), F.col("part").alias("other"), every.alias("part"))
-    share = similarity / (1 + similarity)
-    near = f"r <> s and (size < size2 or size = size2 and a < b) and size >= {similarity} * size2 - 1e-9 and least(size - at, size2 - at2) >= {share} * (size + size2) - 1e-9"
-    return one.join(two, ["token", "part", "other"]).where(near).select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"))
+            whose, units, first, last, digests, texts = [], [], [], [], [], []
+            for i, (text, wanted_units) in enumerate(zip(batch.column("text").to_pylist(), batch.column("units"), strict=True)):
+                words = text.lower().split()
+                begins, ends = _word_places(text, words)
+                units_here = wanted_units.values.to_numpy()
+                for u in units_here.tolist():
+                    a, b = u >> 32, (u & 0xFFFFFFFF) >> 1
+                    said = " ".join(words[a:b])
+                    first.append(begins[a])
+                    last.append(ends[b - 1])
+                    digests.append(xxhash.xxh3_128_digest(said))
+                    texts.append(said if u & 1 else None)
+                units.append(units_here)
+                whose.append(np.full(len(units_here), i))
+            at = pa.array(np.concatenate([np.empty(0, np.int64), *whose]))
+            halves = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id").take(at), batch.column("version").take(at), pa.array(np.concatenate([np.empty(0, np.int64), *units])), pa.array(first, pa.int32()), pa.array(last, pa.int32()), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(texts, pa.string())],
+                ["doc_id", "version", "unit", "start", "end", "t1", "t2", "text"],
+            )
+
+    listed = wanted.groupBy("doc_id", "version").agg(F.collect_set("unit").alias("units"))
+    once = docs.join(listed.hint("merge"), ["doc_id", "version"]).select("doc_id", "version", "units", "text").dropDuplicates(["doc_id", "version"])
+    return once.mapInArrow(cut_out, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, version int, unit long, start int, end int, t1 long, t2 long, text string")
 
 
 def _pairs_apart(placed: DataFrame) -> DataFrame:
@@ -263,7 +195,7 @@ def _line_links(members: DataFrame, texts: DataFrame, similarity: float) -> Data
     ends = members.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
     stars = members.join(ends, "key")
     pairs = stars.where("node <> low").select(F.col("low").alias("src"), F.col("node").alias("dst")).union(stars.where("node <> high and node <> low").select(F.col("node").alias("src"), F.col("high").alias("dst")))
-    links = cut(_verified(pairs, texts, similarity), "links")
+    links = cut(verified(pairs, texts, similarity), "links")
     roots = cut(connected_components(links), "roots")
     placed = cut(members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "placed")
     mixed = placed.groupBy("key").agg(F.min("root").alias("one"), F.max("root").alias("other"), F.count(F.lit(1)).alias("n")).where("one <> other").select("key", "n")
@@ -271,40 +203,42 @@ def _line_links(members: DataFrame, texts: DataFrame, similarity: float) -> Data
     pairs = _pairs_apart(apart.where(F.col("n") <= CROWD))
     crowd = cut(apart.where(F.col("n") > CROWD).select("key", "node", "root"), "crowd")
     if crowd.isEmpty():
-        return connected_components(links.union(_verified(pairs, texts, similarity)))
+        return connected_components(links.union(verified(pairs, texts, similarity)))
     pivots = crowd.groupBy("key").agg(F.array_distinct(F.array(*(F.min_by("node", F.xxhash64("node", F.lit(i))) for i in range(PIVOTS)))).alias("pivots"))
     stars = crowd.join(pivots, "key").select("node", F.explode("pivots").alias("pivot")).where("node <> pivot").select(F.least("node", "pivot").alias("src"), F.greatest("node", "pivot").alias("dst"))
-    links = cut(links.union(_verified(pairs.union(stars), texts, similarity)), "more_links")
+    links = cut(links.union(verified(pairs.union(stars), texts, similarity)), "more_links")
     roots = cut(connected_components(links), "roots")
     lines = crowd.select("node").distinct().join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root")).join(texts, "node")
-    return connected_components(links.union(_verified(_similar_apart(cut(lines, "crowd_lines"), similarity), texts, similarity)))
+    return connected_components(links_apart(cut(lines, "crowd_lines"), links, texts, similarity))
 
 
 def repeated_passages(docs: DataFrame, similarity: float = SIMILARITY, least: int = LEAST, window: int = WINDOW, passage: int = PASSAGE, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, start, end, n_words, kept_doc_id, kind: spans of code points to remove, and a document where the same stays.
 
-    kind: "line" (near or exact copy of an earlier line) or "block" (a run of removed blocks). Overlapping spans of a document are both
+    kind: "paragraph" (near or exact copy of an earlier one) or "block" (a run of removed blocks). Overlapping spans of a document are both
     given. Null and empty texts and rows with a null id have none. Rows that repeat an id and its text are one document; rows that share
-    an id with another text are told apart by a hash of the text. An empty table gives no rows. Other columns are not read.
+    an id with another text are told apart by 31 bits of a hash of the text. An empty table gives no rows. Other columns are not read.
     """
-    docs = narrow(docs, doc_id=id_col, text=text_col).where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    docs = narrow(docs, doc_id=id_col, text=text_col).where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int").alias("version"), "text")
     keys = cut(_keys(docs, least, window, bands, rows), "keys")
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    found = cut(keys.join(shared, "key").distinct(), "found")
+    found = cut(keys.join(shared.hint("shuffle_hash"), "key").distinct(), "found")
     drop(keys)
-    units = cut(_texts(docs, found.select("doc_id", "unit"), least, window).dropDuplicates(["doc_id", "unit"]), "units")
-    place = F.struct("doc_id", "unit")
+    units = cut(_cut_out(docs, found.select("doc_id", "version", "unit")), "units")
+    place = F.struct("doc_id", "version", "unit")
     kind = F.col("unit").bitwiseAND(F.lit(1))
-    texts = cut(units.groupBy(kind.alias("kind"), "text").agg(F.min(place).alias("node"), F.count(F.lit(1)).alias("n")), "texts")
-    blocks = texts.where("kind = 0 and n > 1").select("kind", "text", F.col("node").alias("kept"))
-    lines = texts.where("kind = 1").select("node", "text")
-    members = found.where(kind == 1).join(lines.select(F.col("node.doc_id").alias("doc_id"), F.col("node.unit").alias("unit")), ["doc_id", "unit"], "left_semi").select("key", place.alias("node"))
+    same = cut(units.groupBy(kind.alias("kind"), "t1", "t2").agg(F.min(place).alias("node"), F.count(F.lit(1)).alias("n")), "same")
+    blocks = same.where("kind = 0 and n > 1").select("kind", "t1", "t2", F.col("node").alias("kept"))
+    heads = same.where("kind = 1").select("node")
+    lines = cut(units.where("text is not null").select(place.alias("node"), "text").join(heads, "node", "left_semi"), "lines")
+    members = found.where(kind == 1).select("key", place.alias("node")).join(heads, "node", "left_semi")
     roots = cut(_line_links(members, lines, similarity), "line_roots")
     firsts = roots.groupBy("root").agg(F.min("node").alias("first"))
     linked = roots.join(firsts, "root").select("node", "first")
-    kept_lines = texts.where("kind = 1").join(linked, "node", "left").where("n > 1 or first is not null").select("kind", "text", F.coalesce("first", "node").alias("kept"))
+    kept_lines = same.where("kind = 1").join(linked, "node", "left").where("n > 1 or first is not null").select("kind", "t1", "t2", F.coalesce("first", "node").alias("kept"))
     kept = blocks.unionAll(kept_lines)
-    gone = units.withColumn("kind", kind).join(kept, ["kind", "text"]).where("struct(doc_id, unit) <> kept").select("doc_id", F.shiftright("unit", 41).alias("version"), "kind", "a", "b", "start", "end", F.col("kept.doc_id").alias("kept_doc_id"))
+    gone = units.select("doc_id", "version", "unit", "start", "end", "t1", "t2", kind.alias("kind")).join(kept, ["kind", "t1", "t2"]).where("struct(doc_id, version, unit) <> kept")
+    gone = gone.select("doc_id", "version", "kind", F.shiftright("unit", 32).cast("int").alias("a"), F.shiftright(F.col("unit").bitwiseAND(F.lit(0xFFFFFFFF)), 1).cast("int").alias("b"), "start", "end", F.col("kept.doc_id").alias("kept_doc_id"))
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
@@ -316,7 +250,7 @@ def repeated_passages(docs: DataFrame, similarity: float = SIMILARITY, least: in
             merged, run = [], None
             for s in spans:
                 if s["kind"] == 1:
-                    merged.append({"start": s["start"], "end": s["end"], "n_words": s["b"] - s["a"], "kept_doc_id": s["kept_doc_id"], "kind": "line"})
+                    merged.append({"start": s["start"], "end": s["end"], "n_words": s["b"] - s["a"], "kept_doc_id": s["kept_doc_id"], "kind": "paragraph"})
                 elif run and run["b"] == s["a"]:
                     run |= {"b": s["b"], "end": s["end"]}
                 else:
