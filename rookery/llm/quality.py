@@ -53,36 +53,35 @@ def _materialised(df: DataFrame, keep: list[str], **exprs: Column) -> DataFrame:
 def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The counts that the rules read, for every row; no shuffle.
 
-    n_repeat_words counts words in windows of eight that the text holds at least twice (first ones included): windows are hashed, sorted
-    with their places, equal neighbours marked, and the marked places' windows united. Null and empty texts count 0 everywhere.
+    n_repeat_words counts words in windows of eight that the text holds at least twice (first ones included): windows are hashed, from
+    hashes of two and four words, sorted with their places, equal neighbours marked, and the marked places' windows united. A text without
+    a repeated run of four words has none of eight. Null and empty texts count 0 everywhere.
     """
     rows = narrow(docs, doc_id=id_col, text=text_col).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = _materialised(rows, ["doc_id", "text"], words=F.filter(F.split("text", BLANK), lambda w: w != ""))
     lines = F.filter(F.split("text", "\n"), lambda s: s.rlike(WORD))
-    rows = _materialised(
-        rows,
-        ["doc_id", "text"],
-        n_words=F.size("words").cast("long"),
-        word_chars=F.length(F.array_join("words", "")).cast("long"),
-        n_stutter=F.size(F.filter(F.zip_with("words", F.slice("words", 2, F.greatest(F.size("words"), F.lit(1))), lambda a, b: a == b), lambda e: e)).cast("long"),
-        hashes=F.transform("words", lambda w: F.xxhash64(w)),
-        lines=lines,
-    )
+    rows = _materialised(rows, ["doc_id", "text"], n_words=F.size("words").cast("long"), word_chars=F.length(F.array_join("words", "")).cast("long"), hashes=F.transform("words", lambda w: F.xxhash64(w)), lines=lines)
     count = lambda pattern: F.regexp_count("text", F.lit(pattern)).cast("long")
-    places = F.sequence(F.lit(1), F.greatest(F.size("hashes") - (WINDOW - 1), F.lit(1)))
+    from_ = lambda name, at: F.slice(name, at, F.greatest(F.size(name), F.lit(1)))
+    joined = lambda name, n: F.slice(F.zip_with(name, from_(name, n + 1), lambda a, b: F.xxhash64(a, b)), 1, F.greatest(F.size(name) - n, F.lit(0)))
     rows = _materialised(
         rows,
-        ["doc_id", "n_words", "word_chars", "n_stutter"],
+        ["doc_id", "n_words", "word_chars"],
+        n_stutter=F.size(F.filter(F.zip_with("hashes", from_("hashes", 2), lambda a, b: a == b), lambda e: e)).cast("long"),
         n_symbols=count(r"[#*$%&|<>]"),
         n_lines=F.size("lines").cast("long"),
         n_dup_lines=(F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"),
         n_upper=count(r"\p{Lu}"),
-        n_letters=count(r"\p{L}"),
+        n_letters=F.length(F.regexp_replace("text", r"\P{L}+", "")).cast("long"),
         n_exclaim=count("!"),
-        n_marks=count(r"[#*$%&|<>]{2,}|(?<![^\x20\x09-\x0D])[#*$%&|<>](?![^\x20\x09-\x0D])"),
+        n_marks=count(r"[#*$%&|<>]{2,}|[#*$%&|<>](?<![^\x20\x09-\x0D].)(?![^\x20\x09-\x0D])"),
         n_stops=count(r"[.!?。！？](?=[\x20\x09-\x0D]|$)"),
-        windows=F.when(F.col("n_words") >= WINDOW, F.transform(places, lambda i: F.xxhash64(F.slice("hashes", i, WINDOW)))).otherwise(F.array().cast("array<bigint>")),
+        two=joined("hashes", 1),
     )
+    kept = ["doc_id", "n_words", "word_chars", "n_stutter", "n_symbols", "n_lines", "n_dup_lines", "n_upper", "n_letters", "n_exclaim", "n_marks", "n_stops"]
+    rows = _materialised(rows, kept, four=joined("two", 2))
+    repeats = F.size("four") > F.size(F.array_distinct("four"))
+    rows = _materialised(rows, kept, windows=F.when(repeats, joined("four", 4)).otherwise(F.array().cast("array<bigint>")))
     counted = ["n_words", "word_chars", "n_stutter", "n_symbols", "n_lines", "n_dup_lines", "n_upper", "n_letters", "n_exclaim", "n_marks", "n_stops"]
     twice = F.size("windows") > F.size(F.array_distinct("windows"))
     rows = _materialised(rows, ["doc_id", *counted], placed=F.when(twice, F.sort_array(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
