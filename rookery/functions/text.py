@@ -18,6 +18,11 @@ NOISE = (
 ).split()
 
 
+#: Where a word ends: at anything but letters and digits, before a capital that follows a small letter or digit or that begins a word
+#: after an acronym, and between letters and digits.
+WORD_EDGE = "[^A-Za-z0-9]+|(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])|(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])"
+
+
 def stem(word: Column) -> Column:
     """A rough stem of a lower-case word, so that singular and plural, "handled" and "handle" meet."""
     n = F.length
@@ -29,11 +34,7 @@ def stem(word: Column) -> Column:
 
 def split_words(text: Column) -> Column:
     """Lower-case words of camelCase, acronyms, snake_case, paths and digits; of two characters or more and not only digits."""
-    spaced = F.regexp_replace(text, "([a-z0-9])([A-Z])", "$1 $2")
-    spaced = F.regexp_replace(spaced, "([A-Z]+)([A-Z][a-z])", "$1 $2")
-    spaced = F.regexp_replace(spaced, "([A-Za-z])([0-9])", "$1 $2")
-    spaced = F.regexp_replace(spaced, "([0-9])([A-Za-z])", "$1 $2")
-    return F.filter(F.transform(F.split(spaced, "[^A-Za-z0-9]+"), F.lower), lambda w: (F.length(w) >= 2) & ~w.rlike("^[0-9]+$"))
+    return F.filter(F.transform(F.split(text, WORD_EDGE), F.lower), lambda w: (F.length(w) >= 2) & ~w.rlike("^[0-9]+$"))
 
 
 def is_noise(word: Column) -> Column:

@@ -4,11 +4,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def version_key(version: Column, width: int = 8) -> Column:
-    """Numbers of the part before the first - or +, zero-filled: arrays compare element by element. What is no number counts as 0."""
+def version_key(version: Column) -> Column:
+    """Numbers of the part before the first - or +, without zeros at the end: arrays compare element by element, the shorter first. What is no number counts as 0."""
     head = F.get(F.split(version, "[-+]"), 0)
     numbers = F.transform(F.split(head, r"\."), lambda p: F.coalesce(F.regexp_extract(p, r"^\s*(\d{1,18})", 1).try_cast("long"), F.lit(0)))
-    return F.slice(F.concat(numbers, F.array_repeat(F.lit(0).cast("long"), width)), 1, width)
+    return F.slice(numbers, 1, F.array_max(F.transform(numbers, lambda x, i: F.when(x > 0, i + 1).otherwise(0))))
 
 
 def compare_versions(a: Column, b: Column) -> Column:

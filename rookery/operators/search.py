@@ -4,12 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from rookery.functions.text import is_noise, norm_key, split_words, stem, tokenize
+from rookery.functions.text import is_noise, split_words, stem, tokenize
+from rookery.operators import settings as say
+from rookery.tables import settled
 
 # Weights of fields, BM25's constants, and weights of kinds of query terms.
 WEIGHTS = {"name": 6.0, "kind": 6.0, "endpoint": 4.0, "annotation": 2.0, "depends_on": 1.5, "file": 1.0, "body": 1.0}
-K1, B, JOINED, SYNONYM, WEAK, CAP, RESULTS, QUESTION = 1.2, 0.75, 0.6, 0.4, 0.15, 3, 5, 1000
+K1, B, JOINED, SYNONYM, WEAK, CAP, RESULTS, QUESTION, SETTINGS = 1.2, 0.75, 0.6, 0.4, 0.15, 3, 5, 1000, 6
+# Words under which a configuration file, and what its summary holds, are found.
+FILE_WORDS = "config configuration properties settings"
+PORT_WORDS, PATH_WORDS, PROFILE_WORDS, BACKEND_WORDS = "server port listens", "context path", "profile profiles active", "database datasource"
+DISCOVERY_WORDS, SERVER_WORDS, ROUTE_WORDS = "eureka discovery registry", "config server import", "gateway route routes routing routed"
 PARTICLES = ["in", "up", "out", "on", "off"]
 # Words and what they also mean; ~ marks a weaker relation.
 SYNONYMS = {
@@ -73,16 +80,20 @@ def query_terms(questions: DataFrame, expand: bool = True) -> DataFrame:
 
 
 def _by(by: str, order: str):
-    from pyspark.sql.window import Window
-
     return Window.partitionBy(by).orderBy(order)
 
 
 def term_frequencies(fields: DataFrame) -> DataFrame:
-    """fields(doc_id, instance, text, weight, cap) -> doc_id, term, tf: in each instance of a field a term counts cap times at most (null: no limit)."""
-    each = fields.select("doc_id", "instance", "weight", "cap", F.explode(tokenize(F.col("text"))).alias("term"))
-    counted = each.groupBy("doc_id", "instance", "weight", "cap", "term").agg(F.count(F.lit(1)).alias("n"))
-    return counted.groupBy("doc_id", "term").agg(F.sum(F.col("weight") * F.least("n", F.coalesce("cap", "n"))).alias("tf"))
+    """fields(doc_id, instance, text, weight, cap) -> doc_id, term, tf: in each instance of a field (a row) a term counts cap times at most (null: no limit).
+
+    A row's terms are counted within it: they are sorted, and a run of equal ones is one entry. So one shuffle remains, of distinct terms.
+    """
+    rows = fields.select("doc_id", "weight", "cap", F.array_sort(tokenize(F.col("text"))).alias("all"))
+    starts = F.filter(F.sequence(F.lit(1), F.size("all")), lambda i: (i == 1) | (F.get("all", i - 1) != F.get("all", i - 2)))
+    rows = rows.where(F.size("all") > 0).select("doc_id", "weight", "cap", "all", starts.alias("starts"))
+    ends = F.concat(F.slice("starts", 2, F.size("starts")), F.array(F.size("all") + 1))
+    runs = rows.select("doc_id", "weight", "cap", F.explode(F.zip_with("starts", ends, lambda a, b: F.struct(F.get("all", a - 1).alias("term"), (b - a).cast("long").alias("n")))).alias("r"))
+    return runs.groupBy("doc_id", F.col("r.term").alias("term")).agg(F.sum(F.col("weight") * F.least("r.n", F.coalesce("cap", "r.n"))).alias("tf"))
 
 
 def document_lengths(tf: DataFrame) -> DataFrame:
@@ -94,17 +105,20 @@ def document_frequencies(tf: DataFrame) -> DataFrame:
 
 
 def bm25(tf: DataFrame, terms: DataFrame, all_docs: DataFrame | None = None) -> DataFrame:
-    """qid, doc_id, score, matched. The query's terms are few and broadcast; only matching rows of tf are shuffled.
+    """qid, doc_id, score, matched. One pass over tf makes a row for each document, with its length and those of its terms that are asked for.
 
-    Documents without any term count for n and the average length if all_docs (doc_id) lists them.
+    Documents without any term count for n and the average length if all_docs (doc_id) lists them. What is joined with tf are the
+    distinct terms of the questions; how, is left to the optimiser, which knows their size.
     """
-    lengths = document_lengths(tf)
+    asked = terms.select("term").distinct().withColumn("asked", F.lit(True))
+    docs = tf.join(asked, "term", "left").groupBy("doc_id").agg(F.sum("tf").alias("length"), F.collect_list(F.when(F.col("asked"), F.struct("term", "tf"))).alias("hits"))
     if all_docs is not None:
-        lengths = all_docs.select("doc_id").distinct().join(lengths, "doc_id", "left").select("doc_id", F.coalesce("length", F.lit(0.0)).alias("length"))
-    size = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"))
-    hits = tf.join(F.broadcast(terms.select("term").distinct()), "term")
+        docs = all_docs.select("doc_id").distinct().join(docs, "doc_id", "left").select("doc_id", F.coalesce("length", F.lit(0.0)).alias("length"), F.coalesce("hits", F.array().cast("array<struct<term:string,tf:double>>")).alias("hits"))
+    docs = settled(docs, "scored")
+    size = docs.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"))  # one row
+    hits = docs.select("doc_id", "length", F.explode("hits").alias("h")).select("doc_id", "length", "h.term", "h.tf")
     df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    rows = hits.join(F.broadcast(terms), "term").join(F.broadcast(df), "term").join(lengths, "doc_id").crossJoin(F.broadcast(size))
+    rows = hits.join(terms.join(df, "term"), "term").crossJoin(F.broadcast(size))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = F.when(F.col("mean") > 0, 1 - B + B * F.col("length") / F.col("mean")).otherwise(1.0)
     part = F.col("weight") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * norm)
@@ -132,27 +146,69 @@ def class_fields(classes: DataFrame) -> DataFrame:
     return classes.select("doc_id", F.posexplode(all_).alias("instance", "f")).select("doc_id", "instance", "f.*")
 
 
+def summary_words(properties: DataFrame) -> DataFrame:
+    """doc_id, text: what a configuration file's summary adds to what is searched; properties carry doc_id."""
+    files = properties.select("repo", "file", "doc_id").distinct()
+    d = say.DOC
+    told = say.scalars(properties)
+    given = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
+    texts = F.array(F.when(given("port"), F.concat_ws(" ", F.lit(PORT_WORDS), "port")), F.when(given("context_path"), F.lit(PATH_WORDS)), F.when(given("discovery"), F.lit(DISCOVERY_WORDS)))
+    out = told.select(*d, F.explode(texts).alias("text")).where("text is not null")
+    routes, filters = say.routes(properties), say.default_filters(properties)
+    once = lambda df, words: df.select(*d).distinct().withColumn("text", F.lit(words))
+    out = out.unionByName(once(say.profile_settings(properties), PROFILE_WORDS))
+    out = out.unionByName(say.backends(properties).select(*d, F.concat_ws(" ", F.lit(BACKEND_WORDS), "kind", "target").alias("text")))
+    out = out.unionByName(once(say.config_imports(properties).select(*d).union(say.config_server(properties).select(*d)), SERVER_WORDS))
+    out = out.unionByName(once(routes.select(*d).union(filters.select(*d)), ROUTE_WORDS))
+    out = out.unionByName(routes.select(*d, F.concat_ws(" ", "id", "uri", "predicates", "filters").alias("text")))
+    return out.join(files, ["repo", "file"]).select("doc_id", "text")
+
+
 def config_fields(properties: DataFrame) -> DataFrame:
-    """The same of configuration files; properties carry doc_id."""
+    """The same of configuration files; properties carry doc_id. Each row is an instance of its own."""
     rows = properties.where("key is not null")
-    name = norm_key(F.col("key")) == "spring.application.name"
-    each = rows.select("doc_id", (F.col("doc_idx") * 100_000 + F.col("ord")).alias("i"), F.explode(F.array(F.struct(F.lit(0).alias("k"), F.col("key").alias("text"), F.lit(2.0).alias("weight"), F.lit(None).cast("long").alias("cap")), F.struct(F.lit(1).alias("k"), F.col("value").alias("text"), F.lit(1.0).alias("weight"), F.lit(CAP).cast("long").alias("cap")), F.struct(F.lit(2).alias("k"), F.when(name, F.col("value")).otherwise("").alias("text"), F.lit(6.0).alias("weight"), F.lit(None).cast("long").alias("cap")))).alias("f"))
-    keys = each.select("doc_id", (F.col("i") * 3 + F.col("f.k")).alias("instance"), "f.text", "f.weight", "f.cap")
-    whole = rows.select("doc_id", "file").distinct().select("doc_id", F.explode(F.array(F.struct(F.lit(-1).cast("int").alias("instance"), F.col("file").alias("text"), F.lit(1.0).alias("weight")), F.struct(F.lit(-2).cast("int").alias("instance"), F.lit("config configuration properties settings").alias("text"), F.lit(1.5).alias("weight")))).alias("f")).select("doc_id", "f.instance", "f.text", "f.weight", F.lit(None).cast("long").alias("cap"))
-    return keys.unionByName(whole)
+    none = F.lit(None).cast("long")
+    one = lambda text, weight, cap=none: F.struct(text.alias("text"), F.lit(weight).alias("weight"), cap.alias("cap"))
+    each = rows.select("doc_id", F.explode(F.array(one(F.col("key"), WEIGHTS["annotation"]), one(F.col("value"), WEIGHTS["body"], F.lit(CAP).cast("long")))).alias("f")).select("doc_id", "f.*")
+    files = rows.select("repo", "doc_id", "file").distinct()
+    names = say.scalars(rows).where("application_name <> ''").select("repo", "file", "application_name").join(files, ["repo", "file"]).select("doc_id", F.col("application_name").alias("text"), F.lit(WEIGHTS["name"]).alias("weight"), none.alias("cap"))
+    whole = files.select("doc_id", F.explode(F.array(one(F.col("file"), WEIGHTS["file"]), one(F.lit(FILE_WORDS), WEIGHTS["depends_on"]))).alias("f")).select("doc_id", "f.*")
+    summary = summary_words(rows).select("doc_id", "text", F.lit(WEIGHTS["endpoint"]).alias("weight"), none.alias("cap"))
+    out = each.unionByName(names).unionByName(whole).unionByName(summary)
+    return out.select("doc_id", F.lit(0).alias("instance"), "text", "weight", "cap")
+
 
+def answer(spark: SparkSession, classes: DataFrame, properties: DataFrame, question: str, k: int | None = RESULTS, only: str | None = None) -> DataFrame:
+    """rank, type, name, file, score, matched, exact, doc_id: the k best classes and configuration files for a question; names in the question come first.
 
-def answer(spark: SparkSession, classes: DataFrame, properties: DataFrame, question: str, k: int = RESULTS) -> DataFrame:
-    """rank, type, name, file, score, matched, exact: the k best classes and configuration files for a question; names in the question come first."""
-    cs = classes.withColumn("doc_id", F.concat_ws("\n", F.lit("class"), "repo", "file", F.col("ord").cast("string")))
-    ps = properties.where("key is not null").withColumn("doc_id", F.concat_ws("\n", F.lit("config"), "repo", "file"))
+    k: None for all of them, and none if it is not positive. only: "class" or "config" to rank those alone, in the statistics of all.
+    """
+    cs = with_ids(classes, "class")
+    ps = with_ids(properties.where("key is not null"), "config")
     tf = term_frequencies(class_fields(cs).unionByName(config_fields(ps)))
     docs = cs.select("doc_id", F.lit("class").alias("type"), "name", "file").unionByName(ps.select("doc_id", F.lit("config").alias("type"), F.lit("").alias("name"), "file").distinct())
     asked = spark.createDataFrame([(1, question[:QUESTION])], "qid int, question string")
     scored = bm25(tf, query_terms(asked), docs)
     exact = (F.col("type") == "class") & exact_names(F.lit(question), F.col("name"))
-    ranked = docs.join(scored, "doc_id", "left").select("type", "name", "file", F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("matched", F.array().cast("array<string>")).alias("matched"), exact.alias("exact")).where("score > 0 or exact")
-    top = ranked.orderBy(F.desc("exact"), F.desc("score"), F.collate("name", "UNICODE"), F.collate("file", "UNICODE")).limit(k)
-    from pyspark.sql.window import Window
-
-    return top.select(F.row_number().over(Window.orderBy(F.desc("exact"), F.desc("score"), F.collate("name", "UNICODE"), F.collate("file", "UNICODE"))).alias("rank"), "*")
+    ranked = docs.join(scored, "doc_id", "left").select("type", "name", "file", F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("matched", F.array().cast("array<string>")).alias("matched"), exact.alias("exact"), "doc_id").where("score > 0 or exact")
+    if only:
+        ranked = ranked.where(F.col("type") == only)
+    order = [F.desc("exact"), F.desc("score"), F.collate("name", "UNICODE"), F.collate("file", "UNICODE"), "doc_id"]
+    top = ranked if k is None else ranked.orderBy(*order).limit(max(0, k))
+    return top.select(F.row_number().over(Window.orderBy(*order)).alias("rank"), "*")
+
+
+def with_ids(df: DataFrame, kind: str) -> DataFrame:
+    """df with doc_id: of a class its place in its file, of a configuration file the file."""
+    place = [F.col("ord").cast("string")] if kind == "class" else []
+    return df.withColumn("doc_id", F.concat_ws("\n", F.lit(kind), "repo", "file", *place))
+
+
+def matching_settings(properties: DataFrame, question: str, most: int = SETTINGS) -> DataFrame:
+    """doc_id, ord, key, value: of each configuration file the first properties whose key has a term of the question."""
+    spark = properties.sparkSession
+    terms = query_terms(spark.createDataFrame([(1, question[:QUESTION])], "qid int, question string")).select("term").distinct()
+    rows = with_ids(properties.where("key is not null"), "config").select("doc_id", (F.col("doc_idx").cast("long") * say.LATER + F.col("ord")).alias("ord"), "key", "value")
+    hit = rows.select("doc_id", "ord", F.explode(tokenize(F.col("key"))).alias("term")).join(terms, "term", "left_semi").select("doc_id", "ord").distinct()
+    n = F.row_number().over(Window.partitionBy("doc_id").orderBy("ord"))
+    return rows.join(hit, ["doc_id", "ord"], "left_semi").withColumn("n", n).where(F.col("n") <= most).drop("n")

@@ -4,32 +4,46 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from rookery.functions.redact import redact_route_args
 from rookery.functions.text import norm_key
 
 DOC = ["repo", "file", "doc_idx"]
-# Keys that name a backend, its kind, and the scheme to strip.
+# Keys that name a backend, and its kind.
 BACKENDS = {
-    "spring.r2dbc.url": ("r2dbc", "(?i)^r2dbc:"),
-    "spring.data.mongodb.uri": ("mongodb", r"(?i)^mongodb(\+srv)?://"),
-    "spring.data.redis.host": ("redis", ""),
-    "spring.redis.host": ("redis", ""),
-    "spring.kafka.bootstrapservers": ("kafka", ""),
-    "spring.rabbitmq.host": ("rabbitmq", ""),
-    "spring.elasticsearch.uris": ("elasticsearch", ""),
+    "spring.r2dbc.url": "r2dbc",
+    "spring.data.mongodb.uri": "mongodb",
+    "spring.data.redis.host": "redis",
+    "spring.redis.host": "redis",
+    "spring.kafka.bootstrapservers": "kafka",
+    "spring.rabbitmq.host": "rabbitmq",
+    "spring.elasticsearch.uris": "elasticsearch",
 }
-GATEWAY = r"(?i)^spring\.cloud\.gateway\.(?:mvc\.|server\.(?:webflux|webmvc)\.)?"
+SCHEMES = {"r2dbc": "(?i)^r2dbc:", "mongodb": r"(?i)^mongodb(\+srv)?://"}
+# What a gateway's keys begin with, and what may follow.
+GATEWAY, FLAVOURS = "spring.cloud.gateway.", ["mvc.", "server.webflux.", "server.webmvc."]
+GATEWAY_KEY = "(?i)^" + GATEWAY.replace(".", r"\.") + "(?:" + "|".join(f.replace(".", r"\.") for f in FLAVOURS) + ")?"
+#: Room for places within a document: what the report lists after all that have a place of their own.
+LATER = 1_000_000
+
+
+def list_base(key: Column) -> Column:
+    """A normalised key, up to its first bracket: all items of a list have one."""
+    return F.substring_index(norm_key(key), "[", 1)
+
+
+def in_order(of: Column, by: Column) -> Column:
+    """The values that are not null or empty, in order: an aggregate."""
+    return F.transform(F.array_sort(F.collect_list(F.when(of != "", F.struct(by.alias("by"), of.alias("of"))))), lambda x: x["of"])
 
 
 def on_profile(properties: DataFrame) -> DataFrame:
-    """The profile condition of each document that has one."""
-    plain = F.regexp_replace(norm_key(F.col("key")), r"\[\d+\]$", "")
-    new = plain == "spring.config.activate.onprofile"
-    old = plain == "spring.profiles"
-    values = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(c, F.struct("ord", "value")))), lambda x: x["value"]), ", ")
-    both = properties.where(new | old).groupBy(*DOC).agg(values(new).alias("n"), values(old).alias("o"))
-    return both.select(*DOC, F.when(F.col("n") != "", F.col("n")).otherwise(F.col("o")).alias("on_profile"))
+    """The profile condition of each document that has one; the older key counts only without the newer."""
+    base, value = list_base(F.col("key")), F.col("value")
+    values = lambda k: F.array_join(in_order(F.when(base == k, value), F.col("ord")), ", ")
+    both = properties.where(base.isin("spring.config.activate.onprofile", "spring.profiles")).groupBy(*DOC).agg(values("spring.config.activate.onprofile").alias("n"), values("spring.profiles").alias("o"))
+    return both.select(*DOC, F.when(F.col("n") != "", F.col("n")).otherwise(F.col("o")).alias("on_profile")).where("on_profile <> ''")
 
 
 def scalars(properties: DataFrame) -> DataFrame:
@@ -53,22 +67,27 @@ def jdbc_backend(url: Column) -> Column:
     head = lambda s, stop: F.get(F.split(s, stop), 0)
     oracle = (kind == "oracle") & rest.contains("@")
     authority = F.when(oracle, head(F.regexp_replace(last_at(rest), "^//", ""), "[/?;]")).when(rest.startswith("//"), last_at(head(F.regexp_replace(rest, "^//", ""), "[/?;]")))
-    hosts = F.array_join(F.transform(F.regexp_extract_all(authority, F.lit(r"(?:\$\{[^}]*\}|\[[^\]]*\]|[^,])+"), F.lit(0)), lambda x: F.trim(x)), ", ")
+    hosts = F.array_join(F.filter(F.transform(F.split(authority, r",(?![^{\[]*[}\]])"), lambda x: F.trim(x)), lambda x: x != ""), ", ")  # no comma inside a placeholder or an address
     local = head(rest, "[;?]")
     target = F.when(authority.isNotNull() & (authority != ""), hosts).otherwise(F.when(local == "", "(unspecified)").otherwise(local))
     return F.when(url.rlike(r"(?i)^jdbc:[a-z0-9]+:"), F.struct(kind.alias("kind"), target.alias("target")))
 
 
 def backends(properties: DataFrame) -> DataFrame:
-    """repo, file, doc_idx, ord, kind, target, key."""
-    source = F.col("key").rlike(r"(?i)^spring\.datasource(\.[^.]+)*\.(jdbc-?url|url)$") & (F.col("value") != "")
+    """repo, file, doc_idx, ord, kind, target, key: each JDBC address, then each other backend, whose list items are joined in order. One pass."""
+    base = list_base(F.col("key"))
+    source = F.col("key").rlike(r"(?i)^spring\.datasource(\.[^.]+)*\.(jdbc-?url|url)$")
+    known = F.create_map(*(x for i, (k, kind) in enumerate(BACKENDS.items()) for x in (F.lit(k), F.struct(F.lit(kind).alias("kind"), F.lit(LATER + i).alias("place")))))
+    rows = properties.where(source | base.isin(list(BACKENDS))).select(*DOC, "ord", "key", "value", F.when(~source, known[base]).alias("named"))
+    rows = rows.withColumn("place", F.coalesce("named.place", "ord"))
+    joined = rows.groupBy(*DOC, "place", F.col("named.kind").alias("kind")).agg(F.min_by("key", "ord").alias("key"), F.array_join(in_order(F.col("value"), F.col("ord")), ",").alias("value"))
     found = jdbc_backend(F.col("value"))
-    data = properties.where(source).select(*DOC, "ord", F.coalesce(found["kind"], F.lit("datasource")).alias("kind"), F.coalesce(found["target"], F.col("value")).alias("target"), "key")
-    plain = F.regexp_replace(norm_key(F.col("key")), r"\[\d+\]$", "")
-    kind, scheme = (F.create_map(*(x for k, v in BACKENDS.items() for x in (F.lit(k), F.lit(v[i]))))[plain] for i in (0, 1))
-    named = properties.where(plain.isin(list(BACKENDS)) & (F.col("value") != "")).select(*DOC, "ord", kind.alias("kind"), F.when(scheme == "", F.col("value")).otherwise(F.regexp_replace("value", scheme, F.lit(""))).alias("target"), F.regexp_replace("key", r"\[\d+\]$", "").alias("key"))
-    listed = named.groupBy(*DOC, "kind", "key").agg(F.min("ord").alias("ord"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "target"))), lambda x: x["target"]), ",").alias("target"))
-    return data.unionByName(listed.select(*DOC, "ord", "kind", "target", "key"))
+    other = F.col("value")
+    for kind, scheme in SCHEMES.items():
+        other = F.when(F.col("kind") == kind, F.regexp_replace("value", scheme, F.lit(""))).otherwise(other)
+    target = F.when(F.col("kind").isNull(), F.coalesce(found["target"], F.col("value"))).otherwise(other)
+    out = joined.where("value <> ''").select(*DOC, F.col("place").alias("ord"), F.coalesce("kind", found["kind"], F.lit("datasource")).alias("kind"), target.alias("target"), F.regexp_replace("key", r"\[\d+\]$", "").alias("key"))
+    return out.where("target <> ''")
 
 
 def _shortcuts(rows: DataFrame, by: list[str]) -> DataFrame:
@@ -82,9 +101,12 @@ def _shortcuts(rows: DataFrame, by: list[str]) -> DataFrame:
         F.min_by(F.when(F.col("field") == "name", F.col("value")), F.when(F.col("field") == "name", F.col("ord"))).alias("name"),
         F.transform(F.array_sort(F.collect_list(F.when(F.col("field").startswith("args"), F.struct("ord", "shown")))), lambda x: x["shown"]).alias("args"),
     )
+    short = F.col("direct").rlike("^[^=]+=")
     pieces = F.transform(F.split(F.regexp_replace("direct", "^[^=]*=", ""), ","), lambda x: F.trim(x))
-    direct = F.when(F.col("direct").rlike("^[^=]+="), F.concat(F.regexp_extract("direct", "^([^=]+)=", 1), F.lit("="), F.array_join(redact_route_args(pieces), ","))).otherwise(F.col("direct"))
-    mapped = F.concat("name", F.when(F.size("args") > 0, F.concat(F.lit("("), F.array_join(redact_route_args(F.col("args")), ", "), F.lit(")"))).otherwise(""))
+    items = items.select(*by, "i", "direct", "name", F.when(F.col("direct").isNull(), F.col("args")).when(short, pieces).otherwise(F.array().cast("array<string>")).alias("args"))
+    items = items.select(*by, "i", "direct", "name", redact_route_args(F.col("args")).alias("args"))
+    direct = F.when(short, F.concat(F.regexp_extract("direct", "^([^=]+)=", 1), F.lit("="), F.array_join("args", ","))).otherwise(F.col("direct"))
+    mapped = F.concat("name", F.when(F.size("args") > 0, F.concat(F.lit("("), F.array_join("args", ", "), F.lit(")"))).otherwise(""))
     return items.select(*by, F.col("i").alias("ord"), F.coalesce(direct, mapped, F.lit("")).alias("text")).where("text <> ''")
 
 
@@ -94,9 +116,9 @@ def _listed(rows: DataFrame, by: list[str], name: str) -> DataFrame:
 
 def routes(properties: DataFrame) -> DataFrame:
     """repo, file, doc_idx, prefix, idx, id, uri, predicates, filters of gateway routes."""
-    pattern = GATEWAY + r"routes\[(\d+)\]\.(.+)$"
+    pattern = GATEWAY_KEY + r"routes\[(\d+)\]\.(.+)$"
     by = [*DOC, "prefix", "idx"]
-    rows = properties.where(F.col("key").rlike(pattern)).select(*DOC, F.concat(F.regexp_extract("key", r"^(.*?)routes\[", 1), F.lit("routes")).alias("prefix"), F.regexp_extract("key", pattern, 1).cast("int").alias("idx"), F.regexp_extract("key", pattern, 2).alias("field"), "ord", "value")
+    rows = properties.where(F.col("key").rlike(pattern)).select(*DOC, F.concat(F.substring_index("key", "routes[", 1), F.lit("routes")).alias("prefix"), F.regexp_extract("key", pattern, 1).cast("int").alias("idx"), F.regexp_extract("key", pattern, 2).alias("field"), "ord", "value")
     first = lambda f: F.coalesce(F.min_by(F.when(F.col("field") == f, F.col("value")), F.when(F.col("field") == f, F.col("ord"))), F.lit(""))
     heads = rows.groupBy(*by).agg(first("id").alias("id"), first("uri").alias("uri"))
     for name in ("predicates", "filters"):
@@ -106,24 +128,33 @@ def routes(properties: DataFrame) -> DataFrame:
 
 
 def default_filters(properties: DataFrame) -> DataFrame:
-    pattern = GATEWAY + r"default-filters(\[\d+\].*)$"
-    rows = properties.where(F.col("key").rlike(pattern)).select(*DOC, "ord", "value", F.regexp_extract("key", pattern, 1).alias("rest"))
-    return _shortcuts(rows, DOC)
+    """repo, file, doc_idx, list, at (where the list begins), ord, text: two lists of one document keep apart."""
+    pattern = GATEWAY_KEY + r"default-filters(\[\d+\](?:\..+)?)$"
+    rows = properties.where(F.col("key").rlike(pattern)).select(*DOC, F.regexp_extract("key", "(?i)^(.*?default-filters)", 1).alias("list"), "ord", "value", F.regexp_extract("key", pattern, 1).alias("rest"))
+    begins = rows.groupBy(*DOC, "list").agg(F.min("ord").alias("at"))
+    return _shortcuts(rows, [*DOC, "list"]).join(begins, [*DOC, "list"]).select(*DOC, "list", "at", "ord", "text")
 
 
 def config_imports(properties: DataFrame) -> DataFrame:
+    """Imports in order, then the first address of the configuration server."""
     key = norm_key(F.col("key"))
-    return properties.where((key.startswith("spring.config.import") | (key == "spring.cloud.config.uri")) & (F.col("value") != "")).select(*DOC, "ord", "key", "value")
+    rows = properties.where(key.startswith("spring.config.import") | (key == "spring.cloud.config.uri")).select(*DOC, "ord", "key", "value", (key == "spring.cloud.config.uri").alias("uri"))
+    first = rows.withColumn("n", F.row_number().over(Window.partitionBy(*DOC, "uri").orderBy("ord")))
+    return first.where("value <> '' and (n = 1 or not uri)").select(*DOC, F.when(F.col("uri"), LATER).otherwise(F.col("ord")).alias("ord"), "key", "value")
 
 
 def config_server(properties: DataFrame) -> DataFrame:
-    key = norm_key(F.col("key"))
-    return properties.where(key.startswith("spring.cloud.config.server.") & key.rlike("uri|searchlocations|defaultlabel|label")).select(*DOC, "ord", "key", "value")
+    """Settings of a configuration server that say where it reads; text is the key's rest and the value."""
+    rest = F.regexp_extract("key", r"(?i)^spring\.cloud\.config\.server\.(.*)$", 1)
+    told = norm_key(F.col("key")).rlike("uri|searchlocations|label")
+    return properties.where((rest != "") & told & (F.col("value") != "")).select(*DOC, "ord", "key", "value", F.concat_ws(": ", rest, "value").alias("text"))
 
 
 def profile_settings(properties: DataFrame) -> DataFrame:
-    key = F.regexp_replace(norm_key(F.col("key")), r"\[\d+\]$", "")
-    return properties.where(key.isin("spring.profiles.active", "spring.profiles.default", "spring.profiles.include")).select(*DOC, "ord", key.alias("key"), "value")
+    """Active, default and included profiles, in that order; keys as written."""
+    kinds = F.array(*(F.lit(f"spring.profiles.{k}") for k in ("active", "default", "include")))
+    place = F.array_position(kinds, list_base(F.col("key"))).cast("int")
+    return properties.where(place > 0).select(*DOC, (place * LATER + F.col("ord")).alias("ord"), "key", "value")
 
 
 def property_groups(properties: DataFrame, by: list[str] | None = None) -> DataFrame:

@@ -37,11 +37,14 @@ MAPPINGS = {"GetMapping": "GET", "PostMapping": "POST", "PutMapping": "PUT", "De
 IGNORED = "String int long double float boolean char byte short void Integer Long Double Float Boolean Character Byte Short Object List Map Set Optional Collection ArrayList HashMap HashSet Logger extends super final".split()
 
 LEXEME = re.compile(r'//[^\n]*|/\*.*?(?:\*/|\Z)|"""(?:\\.|.)*?(?:"""|\Z)|"(?:\\.|[^"\\\n])*(?:"|(?=\n)|\Z)|\'(?:\\.|[^\'\\\n])*(?:\'|(?=\n)|\Z)', re.S)
+MAPPING = re.compile(rf"@({'|'.join(MAPPINGS)})\b")
 DECLARATION = re.compile(r"\b(class|interface|enum|record)\s+(\w+)")
-ANNOTATION = re.compile(r"@\s*([A-Za-z_][\w.]*)")
-MODIFIER = re.compile(r"(?:public|private|protected|static|final|abstract|strictfp)\b")
+ANNOTATION = re.compile(r"@([A-Za-z_][\w.]*)")
+MODIFIERS = {"public", "private", "protected", "static", "final", "abstract", "strictfp"}
+FIELD_MODIFIERS = {"public", "private", "protected", "static", "final", "transient", "volatile"}
 LITERAL = re.compile(r'"((?:\\.|[^"\\])*)"')
 NAME = re.compile(r"[A-Za-z_$][\w$.]*")
+BLANKS = re.compile(r"\s*")
 
 
 def two_views(text: str) -> tuple[str, str]:
@@ -64,52 +67,83 @@ def two_views(text: str) -> tuple[str, str]:
     return "".join([*bare, text[at:]]), "".join([*masked, text[at:]])
 
 
-def closing(masked: str, opened: int) -> int:
-    """Place of the bracket that closes the one at opened; the end of the text without one."""
-    mark = masked[opened]
-    other = {"(": ")", "{": "}"}[mark]
-    depth = 0
-    for m in re.compile(f"[{re.escape(mark + other)}]").finditer(masked, opened):
-        depth += 1 if m[0] == mark else -1
-        if not depth:
-            return m.start()
-    return len(masked)
-
-
-def _annotations_between(bare: str, masked: str, start: int, end: int) -> list[tuple[str, str]]:
-    """Annotations, in order, of the unbroken run of annotations and then modifiers that ends at end."""
-    found: list[tuple[int, int, str, str]] = []
-    at = start
-    while m := ANNOTATION.search(masked, at, end):
-        stop, args = m.end(), ""
-        rest = re.compile(r"\s*\(").match(masked, stop)
-        if m[1] == "interface":
-            at = stop
-            continue
-        if rest and rest.end() <= end:
-            shut = closing(masked, rest.end() - 1)
-            args, stop = bare[rest.end() : shut], shut + 1
-        found.append((m.start(), stop, m[1], args))
-        at = max(stop, m.end())
-    out: list[tuple[str, str]] = []
-    edge = end
-    for first, stop, name, args in reversed(found):
-        between = masked[stop:edge]
-        if out and between.strip() or re.sub(MODIFIER, "", between).strip():
-            break
-        out.append((name, args))
-        edge = first
-    return out[::-1]
+class Source:
+    """One file in both views, with the partner of each bracket and the annotations by where they end, each found in one pass."""
+
+    def __init__(self, text: str):
+        self.bare, self.masked = two_views(text)
+        self.partner: dict[int, int] = {}
+        for pair in ("()", "{}"):
+            opened: list[int] = []
+            for m in re.finditer(f"[{re.escape(pair)}]", self.masked):
+                if m[0] == pair[0]:
+                    opened.append(m.start())
+                elif opened:
+                    self.partner[opened.pop()] = m.start()
+        self.ends: dict[int, tuple[int, str, str]] = {}
+        for m in ANNOTATION.finditer(self.masked):
+            stop, args = m.end(), ""
+            after = self.skip_blanks(stop)
+            if self.masked[after : after + 1] == "(" and (shut := self.closing(after)) < len(self.masked):
+                args, stop = self.bare[after + 1 : shut], shut + 1
+            self.ends[stop] = (m.start(), m[1], args)
+
+    def closing(self, opened: int) -> int:
+        """Place of the bracket that closes the one at opened; the end of the text without one."""
+        return self.partner.get(opened, len(self.masked))
+
+    def skip_blanks(self, at: int) -> int:
+        return BLANKS.match(self.masked, at).end()
+
+    def before(self, at: int) -> int:
+        """The end of what stands before at, blanks left out."""
+        while at > 0 and self.masked[at - 1].isspace():
+            at -= 1
+        return at
+
+    def word_before(self, at: int) -> str:
+        start = at
+        while start > 0 and (self.masked[start - 1].isalnum() or self.masked[start - 1] == "_"):
+            start -= 1
+        return self.masked[start:at]
+
+    def annotations_before(self, at: int) -> list[tuple[str, str]]:
+        """(name, arguments) of the unbroken run of annotations and then modifiers that ends at a keyword, in order."""
+        at = self.before(at)
+        while (word := self.word_before(at)) in MODIFIERS:
+            at = self.before(at - len(word))
+        out: list[tuple[str, str]] = []
+        while at in self.ends:
+            start, name, args = self.ends[at]
+            out.append((name, args.strip()))
+            at = self.before(start)
+        return out[::-1]
+
+    def past_annotations(self, at: int, modifiers: bool) -> int:
+        """The first place from at that is no blank, annotation or (if asked) modifier."""
+        while True:
+            at = self.skip_blanks(at)
+            if (m := ANNOTATION.match(self.masked, at)) and m[1] != "interface":
+                after = self.skip_blanks(m.end())
+                at = min(self.closing(after) + 1, len(self.masked)) if self.masked[after : after + 1] == "(" else m.end()
+            elif modifiers and (m := re.compile(r"[A-Za-z]+(?![\w$])").match(self.masked, at)) and m[0] in MODIFIERS:
+                at = m.end()
+            else:
+                return at
 
 
 def mapping_args(args: str) -> tuple[list[str], list[str], bool]:
-    """(paths, methods, unresolved) of a mapping annotation's arguments."""
-    methods = re.findall(r"RequestMethod\s*\.\s*([A-Z]+)", args)
-    named = re.search(r"\b(?:value|path)\s*=\s*(\{[^}]*\}|[^,]*)", args)
-    lead = re.match(r"\s*(\{[^}]*\}|\"(?:\\.|[^\"\\])*\"|[A-Za-z_][\w.]*(?!\s*=)(?!\w)[^,=]*(?=,|$))", args)
-    value = named[1] if named else lead[1] if lead else ""
-    paths = LITERAL.findall(value)
-    return paths, methods, bool(value.strip()) and not paths
+    """(paths, methods, unresolved) of a mapping annotation's arguments.
+
+    Only a literal, or braces, right at the start or right after value= or path= names paths; another expression there is unresolved.
+    """
+    methods = re.findall(r"RequestMethod\.(\w+)", args)
+    value = re.compile(r'\{[^}]*\}|"(?:\\.|[^"\\])*"')
+    named = [m.end() for m in re.finditer(r"\b(?:value|path)\s*=\s*", args)]
+    plain = bool(args.strip()) and not re.match(r"\s*\w+\s*=", args)
+    found = next((v for at in named if (v := value.match(args, at))), None) or (value.match(args, BLANKS.match(args).end()) if plain else None)
+    paths = LITERAL.findall(found[0]) if found else []
+    return paths, methods, not paths and (plain or bool(named))
 
 
 def split_top(text: str) -> list[str]:
@@ -127,37 +161,47 @@ def type_names(expression: str) -> list[str]:
     return [n.split(".")[-1] for n in NAME.findall(expression)]
 
 
-def _parameter_types(text: str) -> list[str]:
-    out = []
-    for part in split_top(re.sub(r"@[\w.]+(?:\s*\([^()]*\))?\s*", "", text)):
-        words = re.sub(r"\bfinal\s+", "", part.strip())
-        out += type_names(re.sub(r"\s+[\w$]+(?:\s*\[\])*\s*$", "", words))
+def _parameter_types(source: Source, start: int, end: int) -> list[str]:
+    """Type names of the parameters between two places: of each, all but its own name, annotations and final."""
+    out, at = [], start
+    for part in split_top(source.masked[start:end]):
+        first = source.past_annotations(source.masked.index(part, at, end), False)
+        at = source.masked.index(part, at, end) + len(part)
+        kind = re.sub(r"^(?:final\s+(?:@\w[\w.]*\s+)*)+", "", source.masked[first:at].strip())
+        out += type_names(re.sub(r"\s*[\w$]+\s*$", "", kind))
     return out
 
 
-def injected(name: str, masked: str, annotations: list[str]) -> list[str]:
-    """Type names that the class takes: marked fields, setters and constructors, its own constructors, then Lombok's final fields."""
-    out: list[str] = []
-    for m in re.finditer(r"@(?:[\w.]+\.)?(?:Autowired|Inject|Resource)\b(?:\s*\([^)]*\))?", masked):
-        stop = re.compile(r"[;({=]").search(masked, m.end())
+def injected(source: Source, start: int, end: int, name: str, annotations: list[str]) -> list[str]:
+    """Type names that the class with the body from start to end takes: marked members, its own constructors, then Lombok's final fields."""
+    masked, out = source.masked, []
+    for m in re.compile(r"@(?:Autowired|Inject|Resource)\b").finditer(masked, start, end):
+        after = source.skip_blanks(m.end())
+        head = source.past_annotations(source.closing(after) + 1 if masked[after : after + 1] == "(" else m.end(), True)
+        stop = re.compile(r"[;({=]").search(masked, head, end)
         if not stop:
             continue
-        head = re.sub(r"@[\w.]+(?:\s*\([^()]*\))?\s*", "", masked[m.end() : stop.start()])
+        member = masked[head : stop.start()]
+        if ")" in member or len(split_top(member)) > 1:
+            continue  # it marks a parameter
         if stop[0] == "(":
-            out += _parameter_types(masked[stop.end() : closing(masked, stop.start())])
-        elif ")" not in head and len(split_top(head)) == 1:
-            head = re.sub(MODIFIER, "", head).strip()
-            out += type_names(re.sub(r"\s+[\w$]+\s*$", "", head))
-    for m in re.finditer(rf"(?<![\w$.]){re.escape(name)}\s*\(", masked):
-        shut = closing(masked, m.end() - 1)
-        if not re.search(r"(?:\.|\bnew)\s*$", masked[: m.start()]) and re.match(r"\s*(?:throws\s+[\w.,\s]+)?\{", masked[shut + 1 :]):
-            out += _parameter_types(masked[m.end() : shut])
+            out += _parameter_types(source, stop.end(), min(source.closing(stop.start()), end))
+        elif stop[0] != "{":
+            out += type_names(re.sub(r"\s*[\w$]+\s*$", "", member))
+    for m in re.compile(rf"\b{re.escape(name)}\s*\(").finditer(masked, start, end):
+        before = source.before(m.start())
+        shut = source.closing(m.end() - 1)
+        if masked[before - 1 : before] != "." and source.word_before(before) != "new" and re.compile(r"\s*(?:throws\s[\w.$,\s]+)?\{").match(masked, shut + 1, end):
+            out += _parameter_types(source, m.end(), shut)
     if "RequiredArgsConstructor" in annotations:
-        for m in re.finditer(r"(?:^|[;{}])\s*((?:@[\w.]+(?:\s*\([^()]*\))?\s*)*(?:[a-z]+\s+)*)([\w.$<>,?\s\[\]]+?)\s+[\w$]+\s*(?=;)", masked):
-            words = re.sub(r"@[\w.]+(?:\s*\([^()]*\))?", "", m[1]).split()
-            kind = re.sub(MODIFIER, "", m[2])
-            if ("final" in words or re.search(r"\bfinal\b", m[2])) and "static" not in words and not re.search(r"\bstatic\b", m[2]):
-                out += type_names(kind)
+        pieces = re.split(r"([;{}()=@])", masked[start:end])
+        for piece, mark in zip(pieces[::2], pieces[1::2], strict=False):
+            tokens = piece.split()
+            first = next((i for i, t in enumerate(tokens) if t in FIELD_MODIFIERS), len(tokens))
+            last = next((i for i in range(first, len(tokens)) if tokens[i] not in FIELD_MODIFIERS), len(tokens))
+            rest = " ".join(tokens[last:])
+            if mark == ";" and "final" in tokens[first:last] and "static" not in tokens[first:last] and re.fullmatch(r"[\w.$]+(?: ?<.*>)? [\w$]+", rest):
+                out += type_names(rest.rpartition(" ")[0])
     return list(dict.fromkeys(out))
 
 
@@ -165,63 +209,67 @@ def joined_path(prefix: str, path: str) -> str:
     return "/" + "/".join(p for p in (prefix.strip("/"), path.strip("/")) if p)
 
 
-def _handler(masked: str, at: int) -> str:
-    while m := re.compile(r"\s*@[\w.]+").match(masked, at):
-        at = m.end()
-        if rest := re.compile(r"\s*\(").match(masked, at):
-            at = closing(masked, rest.end() - 1) + 1
-    stop = re.compile(r"[({};]").search(masked, at)
-    if not stop or stop[0] != "(":
-        return "(unknown)"
-    m = re.search(r"([\w$]+)\s*$", masked[at : stop.start()])
+def _handler(source: Source, at: int, end: int) -> str:
+    """Name of the method declared from at on."""
+    at = source.past_annotations(at, False)
+    stop = re.compile(r"[({};]").search(source.masked, at, end)
+    m = re.search(r"([A-Za-z_$][\w$]*)\s*$", source.masked[at : stop.start()]) if stop and stop[0] == "(" else None
     return m[1] if m else "(unknown)"
 
 
+def value_uses(body: str) -> list[dict]:
+    """Keys of @Value annotations whose literal begins with a placeholder, each once, and whether it has a default."""
+    uses: dict[str, bool] = {}
+    for m in re.finditer(r'@Value\s*\(\s*"([^"]*)"\s*\)', body):
+        inside, shut, _ = m[1].removeprefix("${").partition("}")
+        key, default, _ = inside.partition(":")
+        key = key.lstrip() if default else key.strip()
+        if m[1].startswith("${") and shut and key.rstrip() and not re.search(r"\s", key.rstrip()):
+            uses.setdefault(key.rstrip(), bool(default))
+    return [{"key": k, "has_default": d} for k, d in uses.items()]
+
+
 def parse_java(text: str) -> list[dict]:
     """The classes with a role in Spring, in order of declaration; nested ones too."""
-    bare, masked = two_views(text)
+    source = Source(text)
+    bare, masked = source.bare, source.masked
     out = []
     for m in DECLARATION.finditer(masked):
         keyword, name = m[1], m[2]
-        if keyword == "record" and not re.match(r"\s*(?:<[^{;]*?>\s*)?\(", masked[m.end() : m.end() + 200]):
+        if keyword == "record" and not re.match(r"\s*(?:<[^>{}]*>)?\s*\(", masked[m.end() : m.end() + 200]):
             continue
-        opened = masked.find("{", m.end())
+        opened = masked.find("{", m.start())
         if opened < 0:
             continue
-        shut = closing(masked, opened)
-        marks = _annotations_between(bare, masked, max(0, m.start() - 20_000), m.start())
-        names = [n.split(".")[-1] for n, _ in marks]
-        kind = next((KINDS[n] for n in names if n in KINDS), "other")
+        shut = source.closing(opened)
+        marks = source.annotations_before(m.start())
+        short = [n.split(".")[-1] for n, _ in marks]
+        kind = next((KINDS[n] for n in short if n in KINDS), "other")
         if kind == "other" and keyword == "interface":
-            after = masked[m.end() : opened].partition("extends")[2]
-            kind = "repository" if {*type_names(after)} & {*DATA_TYPES} else kind
+            extends = re.search(r"\bextends\b", masked[m.start() : opened])
+            kind = "repository" if extends and {*re.findall(r"[A-Za-z_$][\w$]*", masked[m.start() + extends.end() : opened])} & {*DATA_TYPES} else kind
         if kind == "other":
             continue
-        body, body_masked = bare[opened + 1 : shut], masked[opened + 1 : shut]
-        prefix, unresolved = "", False
-        for n, args in marks:
-            if n.split(".")[-1] == "RequestMapping":
-                paths, _, unresolved = mapping_args(args)
-                prefix = paths[0] if paths else ""
+        body = bare[opened + 1 : shut]
+        prefixes, _, unresolved = next((mapping_args(a) for (_, a), n in zip(marks, short, strict=True) if n == "RequestMapping"), ([], [], False))
+        prefix = prefixes[0] if prefixes else ""
         endpoints = []
         if kind == "controller":
-            for e in re.finditer(r"@(GetMapping|PostMapping|PutMapping|DeleteMapping|PatchMapping|RequestMapping)\b(?:\s*(\())?", body_masked):
-                args, stop = "", e.end()
-                if e[2]:
-                    end = closing(body_masked, e.end() - 1)
-                    args, stop = body[e.end() : end], end + 1
+            at = opened + 1
+            while e := MAPPING.search(masked, at, shut):
+                at = e.end()
+                after, args = source.skip_blanks(at), ""
+                if masked[after : after + 1] == "(":
+                    end = min(source.closing(after), shut)
+                    args, at = bare[after + 1 : end], end + 1
                 paths, methods, lost = mapping_args(args)
                 methods = (methods or ["ANY"]) if e[1] == "RequestMapping" else [MAPPINGS[e[1]]]
-                for method in methods:
-                    for path in paths or [""]:
-                        full = joined_path(prefix, path)
-                        endpoints.append({"http_method": method, "path": "" if lost or unresolved else full, "method_name": _handler(body_masked, stop)})
-        config = next((LITERAL.search(a) for n, a in marks if n.split(".")[-1] == "ConfigurationProperties" and re.match(r"\s*(?:(?:prefix|value)\s*=\s*)?\"", a)), None)
-        uses = {}
-        for v in re.finditer(r"@Value\s*\(\s*(?:value\s*=\s*)?\"[^\"]*?\$\{([^}:\"]+)(:)?", body):
-            uses.setdefault(v[1].strip(), bool(v[2]))
-        depends = [d for d in injected(name, body_masked, names) if d != name and d not in IGNORED]
-        out.append({"ord": len(out), "name": name, "kind": kind, "annotations": names, "endpoints": endpoints, "depends_on": depends, "raw_body": bare[m.start() : shut + 1], "config_prefix": config[1] if config else None, "config_uses": [{"key": k, "has_default": d} for k, d in uses.items()]})
+                handler = _handler(source, at, shut)
+                endpoints += [{"http_method": method, "path": "" if lost or unresolved else joined_path(prefix, path), "method_name": handler} for method in methods for path in paths or [""]]
+        bound = next((a for (_, a), n in zip(marks, short, strict=True) if n == "ConfigurationProperties"), None)
+        config = re.match(r'\s*(?:(?:prefix|value)\s*=\s*)?"([^"]*)"', bound) if bound is not None else None
+        depends = [d for d in injected(source, opened + 1, shut, name, short) if d != name and d not in IGNORED]
+        out.append({"ord": len(out), "name": name, "kind": kind, "annotations": [n for n, _ in marks], "endpoints": endpoints, "depends_on": depends, "raw_body": body.strip(), "config_prefix": config[1] if config else None, "config_uses": value_uses(body)})
     return out
 
 

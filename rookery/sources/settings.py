@@ -23,23 +23,23 @@ def _unescaped(s: str) -> str:
 def parse_properties(text: str) -> list[list[tuple[str, str]]]:
     """Documents (separated by #--- or !---) of (key, value)."""
     documents: list[list[tuple[str, str]]] = [[]]
-    lines = iter(re.split(r"\r\n|\r|\n", text))
-    for raw in lines:
-        line = raw.lstrip(" \t\f")
-        if re.fullmatch(r"[#!]---\s*", line):
+    lines = re.split(r"\r\n|\r|\n", text)
+    at = 0
+    while at < len(lines):
+        line = lines[at].lstrip(" \t\f")
+        at += 1
+        if re.fullmatch(r"[#!]---\s*", lines[at - 1]):
             documents.append([])
             continue
         if not line or line[0] in "#!":
             continue
         parts, size = [line], len(line)
-        while size < LINE and (len(parts[-1]) - len(parts[-1].rstrip("\\"))) % 2:
+        while size < LINE and at < len(lines) and (len(parts[-1]) - len(parts[-1].rstrip("\\"))) % 2:
             parts[-1] = parts[-1][:-1]
-            more = next(lines, None)
-            if more is None:
-                break
-            parts.append(more.lstrip(" \t\f"))
-            size += len(parts[-1])
-        m = re.match(r"((?:\\.|[^\\=:\s])*)[ \t\f]*[=:]?[ \t\f]*(.*)", "".join(parts), re.S)
+            parts.append(lines[at].lstrip(" \t\f"))
+            size += len(parts[-1]) - 1
+            at += 1
+        m = re.match(r"((?:\\.|[^\\=: \t\f]|\\\Z)*)[ \t\f]*[=:]?[ \t\f]*(.*)", "".join(parts), re.S)
         documents[-1].append((_unescaped(m[1]), _unescaped(m[2])))
     return documents
 
@@ -142,7 +142,8 @@ RAW = "repo string, file string, format string, profile string, bootstrap boolea
 def config_properties(files: DataFrame) -> DataFrame:
     """files(repo, path, name, size, text) -> a row for each property of each configuration file, values redacted.
 
-    A file without properties has one row without a key, which carries its error if it has one. Larger files than the limit aren't read.
+    A file without properties has one row without a key, which carries its error if it has one. Larger files than the limit aren't read;
+    a smaller one without text could not be read, and says so.
     """
     named = files.select("repo", "path", "size", "text", config_name(F.col("name")).alias("n")).where("n.is_config")
     large = F.col("size") > CONFIG_BYTES
@@ -151,7 +152,7 @@ def config_properties(files: DataFrame) -> DataFrame:
         for frame in frames:
             rows = []
             for r in frame.itertuples():
-                documents, error = ([], "skipped: larger than 256 KB") if r.large else parse_settings(r.format, r.text or "")
+                documents, error = ([], "skipped: larger than 256 KB") if r.large else ([], "unreadable") if r.text is None else parse_settings(r.format, r.text)
                 start = [r.repo, r.path, r.format, r.profile, bool(r.bootstrap)]
                 kept = [d for d in documents if d[0]]
                 rows += [[*start, i, cut, k, key, value, error] for i, (found, cut) in enumerate(kept) for k, (key, value) in enumerate(found)]
@@ -161,9 +162,14 @@ def config_properties(files: DataFrame) -> DataFrame:
             yield frame.astype({"doc_idx": "Int32", "ord": "Int32"})
 
     raw = named.select("repo", "path", large.alias("large"), F.when(~large, F.col("text")).alias("text"), "n.format", "n.profile", "n.bootstrap").mapInPandas(parsed, RAW)
-    key, value = strip_controls(F.col("key")), strip_controls(F.col("value"))
-    safe = redact_value(key, value)
-    return raw.select("repo", "file", "format", "profile", "bootstrap", "doc_idx", "truncated", "ord", truncate(redact_text(key), 200).alias("key"), safe["value"].alias("value"), safe["redacted"].alias("redacted"), truncate(redact_text(F.col("error")), 160).alias("error"))
+    place = ["repo", "file", "format", "profile", "bootstrap", "doc_idx", "truncated", "ord"]
+    plain = raw.select(*place, strip_controls(F.col("key")).alias("key"), strip_controls(F.col("value")).alias("value"), "error")
+    # A column for each cleaned text, so that the chain of expressions is not copied into each of its uses.
+    clean = plain.select(*place, "key", "value", redact_text(F.col("key")).alias("clean_key"), redact_text(F.col("value")).alias("clean_value"), redact_text(F.col("error")).alias("error"))
+    safe = redact_value(F.col("key"), F.col("value"), clean=F.col("clean_value"))
+    rows = clean.select(*place, truncate(F.col("clean_key"), 200).alias("key"), safe["value"].alias("value"), safe["redacted"].alias("redacted"), truncate(F.col("error"), 160).alias("error"))
+    # One element exploded: conditions on keys and values stay above, instead of repeating the chain for each use.
+    return rows.select(F.explode(F.array(F.struct(*rows.columns))).alias("row")).select("row.*")
 
 
 __all__ = ["config_properties", "flatten", "is_secret_key", "parse_properties", "parse_settings", "parse_yaml", "scalar_text"]

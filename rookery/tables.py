@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame
 
 
 def settled(df: DataFrame, name: str) -> DataFrame:
-    """Write df below spark.checkpoint.dir (an own folder where that is unset) and read it again: its plan ends here."""
+    """Write df below spark.checkpoint.dir (an own folder where that is unset and all run in one process) and read it again: its plan ends here."""
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not folder:
         folder = "file://" + tempfile.mkdtemp(prefix="rookery-")
         spark.conf.set("spark.checkpoint.dir", folder)

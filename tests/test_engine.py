@@ -10,10 +10,11 @@ from rookery.functions import redact, text, versions
 from rookery.model import build_model
 from rookery.operators import builds, search
 from rookery.operators import settings as say
-from rookery.plans import report
+from rookery.plans import answers, prompts, report
 from rookery.session import configured
 from rookery.sources import java, settings
 from rookery.sources.tree import is_source_path
+from rookery.tables import settled
 
 FILES = {
     "pom.xml": "<project><parent><groupId>org.springframework.boot</groupId><artifactId>spring-boot-starter-parent</artifactId><version>2.7.1</version></parent><groupId>g</groupId><artifactId>root</artifactId><version>1</version><properties><log.version>2.14.0</log.version></properties><dependencyManagement><dependencies><dependency><groupId>m</groupId><artifactId>pinned</artifactId><version>${project.version}</version></dependency></dependencies></dependencyManagement><modules><module>child</module></modules></project>",
@@ -91,24 +92,169 @@ def test_cycles_of_parents_and_modules(spark):
 
 
 def test_answers(spark, model):
-    best = lambda q: [(r.type, r.name) for r in search.answer(spark, model.classes, model.properties, q).orderBy("rank").collect()]
-    assert best("where is the database?")[0] == ("class", "OwnerRepository")
+    best = lambda q, **more: [(r.type, r.name) for r in search.answer(spark, model.classes, model.properties, q, **more).orderBy("rank").collect()]
+    assert best("where is the database?", only="class")[0] == ("class", "OwnerRepository")
+    assert best("where is the database?")[0] == ("config", "")  # its summary names the database
     assert best("what does OwnerService do")[0] == ("class", "OwnerService")
     assert ("config", "") in best("which datasource url is set")
     assert best("the of is") == []
 
 
+def tell_everything(text, tree):
+    lines = text.split("\n")
+    order = ["# Architecture map", "## Dependency risk", "## Configuration files", "### Configuration that code reads", "## Controllers (1)", "## Services (1)", "## Repositories (1)", "## Entities (1)"]
+    assert [x for x in lines if x in order] == order
+    for part in [
+        "Classes with a Spring role: 4",
+        "- **critical** `org.apache.logging.log4j:log4j-core` - ",
+        "### `src/main/resources/application-dev.properties`",
+        "application, properties, profile `dev`",
+        "application, yaml, no profile",
+        "#### Document 2 - profile `prod`",
+        "#### Document 1 - no profile condition",
+        "- Application name: `owners`",
+        "- Server port: `1`",
+        "- Data source: `postgresql` at `db:5432` (`spring.datasource.url`)",
+        "**Gateway routing**",
+        "| Route | Target | Predicates | Filters |",
+        "| --- | --- | --- | --- |",
+        "| `r1` | `lb://x` | `Path=/a/**`, `Header(name=X-Api-Key, regexp=[redacted])` | (none) |",
+        "- `OwnerController` - reads `owner.limit` (defined); reads `owner.missing` (not in the scanned files, no default)",
+        "Depends on: `OwnerService`",
+        "Spring Data interface",
+        "- `GET /owners/{id}` → `find()`",
+    ]:
+        assert part in text, part
+    assert "`application.yml`" not in text and str(tree) not in text
+    groups = [x for x in lines if x.startswith("- Property groups: ")]
+    assert len(groups) == 4 and "`spring.cloud (" in "".join(groups)
+
+
 def test_report_and_command_line(spark, tree, model, capsys):
-    blocks = report.report_blocks(model.classes, model.properties, model.dependencies, model.findings, str(tree))
+    blocks = settled(report.report_blocks(model.classes, model.properties, model.dependencies, model.findings, model.build_files, str(tree)), "blocks")
     page, html = report.render_markdown(blocks), report.render_html(blocks)
     assert "OwnerController" in page and "hunter2" not in page + html and "<script" not in html
-    assert cli.main([str(tree), "--html"], spark) == 0 and (tree / "architecture-report.html").exists()
+    assert cli.main([str(tree), "--html"], spark) == 0 and (tree / "architecture-report.html").read_text() == html
+    assert (tree / "architecture-report.md").read_text() == page
+    tell_everything(page, tree)
     assert cli.main(["ask", str(tree), "database"], spark) == 0 and "OwnerRepository" in capsys.readouterr().out
-    assert [cli.main(a) for a in ([], ["/nowhere"], [str(tree), "--what"], ["ask", str(tree)], ["ask", str(tree), "x" * 1001], ["--help"])] == [1, 1, 2, 2, 2, 0]
+    assert [cli.main(a) for a in ([], ["/nowhere"], [str(tree), "--what"], ["ask", str(tree)], ["ask", str(tree), "x" * 1001], ["--help"], [str(tree), "--ai"], [str(tree), "--ai", "--no-ai"])] == [1, 1, 2, 2, 2, 0, 2, 2]
     (tree / "architecture-report.md").unlink()
     (tree / "architecture-report.md").symlink_to("/tmp/elsewhere")
     assert cli.main([str(tree)], spark) == 1
-    assert report.class_prompts(model.classes).count() == 4 and report.prompt_lines(model.properties, ["file", "doc_idx"]).count() > 5
+    (tree / "architecture-report.md").unlink()
+
+
+def test_report_of_little(spark, model):
+    none = lambda df: df.where("false")
+    page = report.render_markdown(report.report_blocks(none(model.classes), none(model.properties), none(model.dependencies), none(model.findings), none(model.build_files), "/x/y"))
+    for part in ("There is no pom.xml or build.gradle(.kts) at the root", "There is no application or bootstrap file", "No class with a Spring role was found", "`y`"):
+        assert part in page
+    page = report.render_markdown(report.report_blocks(none(model.classes), none(model.properties), none(model.dependencies), none(model.findings), model.build_files, "/x/y"))
+    assert "No dependency could be read from `child/pom.xml`, `pom.xml`" in page
+    page = report.render_markdown(report.report_blocks(model.classes, model.properties, model.dependencies, none(model.findings), model.build_files, "/x/y"))
+    assert "4 dependencies were read from" in page
+
+
+def test_hostile_names_are_shown_as_they_are(spark, model):
+    bad = "<img src=x onerror=alert(1)>`|*_[a](b)\n# h"
+    classes = model.classes.where("name = 'Owner'").withColumn("file", F.lit(bad)).withColumn("name", F.lit(bad)).withColumn("annotations", F.array(F.lit(bad))).withColumn("narrative", F.lit("= a\n- b <b>"))
+    blocks = settled(report.report_blocks(classes, model.properties.where("false"), model.dependencies, model.findings, model.build_files, "/x"), "blocks")
+    page, html = report.render_markdown(blocks), report.render_html(blocks)
+    assert "<img" not in page.replace("``@<img", "") and "<img" not in html and "\n# h" not in page
+    assert "\\= a \\- b &lt;b&gt;" in page
+
+
+def test_answers_tell_settings_and_neighbours(spark, model):
+    def told(question):
+        hits = search.answer(spark, model.classes, model.properties, question)
+        return answers.answer_text(model.classes, model.properties, hits, question)
+
+    text = told("which gateway routes are there")
+    assert "application.yml (config file)" in text
+    assert "     r1 -> lb://x [Path=/a/**, Header(name=X-Api-Key, regexp=[redacted])]" in text
+    assert "   Application: owners" in text and "   Data source [document 1]: postgresql at db:5432" in text and "   Matching settings:" in text
+    assert "     spring.cloud.gateway.routes[0].id = r1" in text and "hunter2" not in text
+    text = told("what does OwnerController do")
+    assert "1. OwnerController (controller) - src/main/java/OwnerController.java" in text
+    assert "   Endpoints: GET /owners/{id} -> find(), " in text and "   Depends on: OwnerService" in text and "   Used by: (no other class of this repository)" in text
+    assert "   Reads config: owner.limit, owner.missing" in text and "   Matched: " in text
+    assert "Nothing matched (4 classes and 2 config files searched)" in told("zebra quantum")
+    only = lambda what: {r.type for r in search.answer(spark, model.classes, model.properties, "owner owners server port", k=None, only=what).collect()}
+    assert only("class") == {"class"} and only(None) == {"class", "config"}
+    assert search.answer(spark, model.classes, model.properties, "owner", k=0).count() == 0
+
+
+def test_prompts_and_an_injected_client(spark, model, tree, capsys):
+    found = {r["name"]: r.prompt for r in prompts.class_prompts(model.classes).collect()}
+    assert len(found) == 4 and "Endpoints:\n  - GET /owners/{id} -> find()" in found["OwnerController"] and "Annotations: (none)" in found["OwnerRepository"]
+    long = model.classes.where("name = 'Owner'").withColumn("raw_body", F.expr("repeat('```` x ', 2000)"))
+    body = prompts.class_prompts(long).first().prompt
+    assert "... (truncated)" in body and "`````java" in body
+    config = {r.file.rsplit("/", 1)[-1]: r.prompt for r in prompts.config_prompts(model.properties).collect()}
+    assert "# document (profile prod)" in config["application.yml"] and "hunter2" not in config["application.yml"]
+    many = spark.createDataFrame([("r", "f", 0, i, f"k{i}", "v" * 100, None) for i in range(200)], "repo string, file string, doc_idx int, ord int, key string, value string, error string")
+    lines = prompts.config_prompts(many).first().prompt.split("\n")
+    assert "... (truncated)" in lines and len(lines) < 3 + prompts.LINES + 3 and sum(map(len, lines)) < prompts.CHARS + 200
+    secret = prompts.config_prompts(many.withColumn("key", F.lit("my.password"))).first().prompt
+    assert "vvv" not in secret and "my.password = [redacted]" in secret
+
+    def client():
+        def complete(task, prompt):
+            if prompt.startswith("Class: OwnerService"):
+                raise RuntimeError("no")
+            return " told " if "Question:" not in prompt else f"answer to {prompt.splitlines()[1]}"
+
+        return complete
+
+    told = {r["name"]: r.narrative for r in prompts.narrated(model.classes, client).collect()}
+    assert told == {"OwnerController": "told", "OwnerService": None, "OwnerRepository": "told", "Owner": "told"}
+    assert cli.main(["ask", str(tree), "where is\n the database", "--ai"], spark, client) == 0
+    assert "answer to where is the database" in capsys.readouterr().out
+    assert prompts.answered_question(lambda *a: 1 / 0, "x") is None
+
+
+def test_java_sources():
+    one = lambda code: java.parse_java(code)[0]
+    assert one('@Service class S { @Autowired @Qualifier("x") RepoA a; }')["depends_on"] == ["RepoA"]
+    assert one('@Service class S { void f() { } /* @Autowired X x; */ String s = "@Autowired Y y;"; }')["depends_on"] == []
+    marks = "\n".join(f'@Mark{i}(value = "}}{{)(", more = @In({i}))' for i in range(2000))
+    assert one(f"@Service\n{marks}\npublic final class S {{ }}")["kind"] == "service"
+    assert [c["name"] for c in java.parse_java("@Service class S { void f(Visit record) { record.touch(); Object o = record; } }")] == ["S"]
+    assert one("@RestController class A { @GetMapping(Paths.USERS) void a() {} }")["endpoints"][0]["path"] == ""
+    assert one('@RestController @RequestMapping(P) class A { @GetMapping("/x") void a() {} }')["endpoints"][0]["path"] == ""
+    assert one("@org.springframework.stereotype.Service class S { int a; }")["annotations"] == ["org.springframework.stereotype.Service"]
+    assert one("@Service class S {  int a;  }")["raw_body"] == "int a;"
+
+
+def test_scanned_configuration_errors(spark, tmp_path):
+    from rookery.sources.tree import config_files, scan_tree
+
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "Application.YML").write_text("x: 1\n")
+    (tmp_path / "application.properties").write_text("k=v\n" + "#" * 300_000)
+    (tmp_path / "other.yml").write_text("x: 1\n")
+    (tmp_path / "link.yml").symlink_to(tmp_path / "other.yml")
+    (tmp_path / "b").symlink_to(tmp_path / "a")
+    rows = {r.path: r for r in config_files(spark, str(tmp_path)).collect()}
+    assert {p: r.text for p, r in rows.items()} == {"a/Application.YML": "x: 1\n", "application.properties": None}
+    files = config_files(spark, str(tmp_path)).withColumn("text", F.when(F.col("size") > 10, F.col("text")))
+    assert {(r.file, r.key, r.error) for r in settings.config_properties(files).collect()} == {("a/Application.YML", None, "unreadable"), ("application.properties", None, "skipped: larger than 256 KB")}
+    assert {r.path for r in scan_tree(spark, str(tmp_path), "*.[yY]*").select("path").collect()} == {"a/Application.YML", "other.yml"}
+
+
+def test_registered_functions(spark):
+    from rookery.functions.register import register
+
+    register(spark)
+    texts = ["getHTTPResponse2 userRepositories handled classes x1y", "password=abc Bearer abcdef123456", "https://ghtoken@github.com/x", "spring.My-Key_x", "2.17.1-x", "1.0.0", ""]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = rows.selectExpr("stem(lower(t))", "split_words(t)", "norm_key(t)", "redact_text(t)", "is_secret_key(t)", "version_key(t)").collect()
+    want = rows.select(text.stem(F.lower("t")), text.split_words(F.col("t")), text.norm_key(F.col("t")), redact.redact_text(F.col("t")), redact.is_secret_key(F.col("t"), False), versions.version_key(F.col("t"))).collect()
+    assert [tuple(r) for r in got] == [tuple(r) for r in want]
+    assert spark.sql("select name, depends_on from (select '@Service class S { S(RepoA a) { } }' as t), lateral parse_java(t)").collect() == [("S", '["RepoA"]')]
+    found = spark.sql("select key, value from parse_config('properties', 'a.password=x\\nb=Bearer abcdef123456\\nc=${D}')").collect()
+    assert {(r.key, r.value) for r in found} == {("a.password", "[redacted]"), ("b", "Bearer [redacted]"), ("c", "${D}")}
 
 
 def column(spark, f, values):
@@ -153,7 +299,7 @@ def test_every_document_is_redacted(spark, tmp_path):
             s = s and re.sub(pattern.replace(r"\z", r"\Z"), re.sub(r"\$(\d)", r"\\g<\1>", by.replace(r"\$\{", "${")), s)
         return s
 
-    got = {r.doc_id: r.text for r in QUERIES["redact_all_documents"](spark, str(tmp_path)).collect()}
+    got = {r.doc_id: r.text for r in QUERIES["redact_documents"](spark, str(tmp_path)).collect()}
     assert got == {i: slow(t) for i, t in enumerate(texts)}
     assert sum(got[i] != t for i, t in enumerate(texts)) >= 6
 
@@ -174,8 +320,18 @@ def test_escapes(spark):
     assert column(spark, report.md_escape, ["*a* [b](c) <i>"]) == ["\\*a\\* \\[b\\]\\(c\\) &lt;i&gt;"]
 
 
-def test_stream(spark, tree, tmp_path):
-    from rookery.streaming.rescan import class_stream
-
-    class_stream(spark, str(tree / "src/main"), str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination()
+def test_stream(spark, tmp_path):
+    """New files come in by batches; a batch that runs again replaces what it wrote."""
+    from rookery.streaming.rescan import class_stream, current_classes
+
+    root = tmp_path / "src"
+    root.mkdir()
+    run = lambda: class_stream(spark, str(root), str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination()
+    (root / "A.java").write_text("@Service class A { } @Entity class E { }")
+    (root / "B.java").write_text("@Service class B { }")
+    run()
+    assert {r["name"] for r in current_classes(spark, str(tmp_path / "out")).collect()} == {"A", "E", "B"}
+    (root / "A2.java").write_text("@Service class A2 { }")
+    run()
+    assert {r["name"] for r in current_classes(spark, str(tmp_path / "out")).collect()} == {"A", "E", "B", "A2"}
     assert spark.read.parquet(str(tmp_path / "out")).count() == 4
