@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -178,15 +180,30 @@ def config_fields(properties: DataFrame) -> DataFrame:
     return out.select("doc_id", F.lit(0).alias("instance"), "text", "weight", "cap")
 
 
-def answer(spark: SparkSession, classes: DataFrame, properties: DataFrame, question: str, k: int | None = RESULTS, only: str | None = None) -> DataFrame:
-    """rank, type, name, file, score, matched, exact, doc_id: the k best classes and configuration files for a question; names in the question come first.
+@dataclass
+class Index:
+    """docs (doc_id, type, name, file) and tf (doc_id, term, tf) of the classes and configuration files."""
 
-    k: None for all of them, and none if it is not positive. only: "class" or "config" to rank those alone, in the statistics of all.
-    """
+    docs: DataFrame
+    tf: DataFrame
+
+
+def build_index(classes: DataFrame, properties: DataFrame) -> Index:
+    """Tokenised once; any number of questions can be asked of it."""
     cs = with_ids(classes, "class")
     ps = with_ids(properties.where("key is not null"), "config")
-    tf = term_frequencies(class_fields(cs).unionByName(config_fields(ps)))
     docs = cs.select("doc_id", F.lit("class").alias("type"), "name", "file").unionByName(ps.select("doc_id", F.lit("config").alias("type"), F.lit("").alias("name"), "file").distinct())
+    return Index(settled(docs, "index-docs"), settled(term_frequencies(class_fields(cs).unionByName(config_fields(ps))), "index-tf"))
+
+
+def answer(spark: SparkSession, classes: DataFrame, properties: DataFrame, question: str, k: int | None = RESULTS, only: str | None = None, index: Index | None = None) -> DataFrame:
+    """rank, type, name, file, score, matched, exact, doc_id: the k best classes and configuration files for a question; names in the question come first.
+
+    k: None for all of them, and none if it is not positive. only: "class" or "config" to rank those alone, in the statistics of all.
+    index: that of the same classes and properties, where it exists.
+    """
+    index = index or build_index(classes, properties)
+    tf, docs = index.tf, index.docs
     asked = spark.createDataFrame([(1, question[:QUESTION])], "qid int, question string")
     scored = bm25(tf, query_terms(asked), docs)
     exact = (F.col("type") == "class") & exact_names(F.lit(question), F.col("name"))

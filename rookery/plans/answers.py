@@ -11,6 +11,7 @@ from rookery.operators import search
 from rookery.operators import settings as say
 from rookery.plans.report import capped, document_labels
 from rookery.sources.java import used_by
+from rookery.tables import settled
 
 # Fixed value: routes listed for one document.
 ROUTES = 12
@@ -82,6 +83,7 @@ def answer_lines(classes: DataFrame, properties: DataFrame, hits: DataFrame, que
 
 def answer_text(classes: DataFrame, properties: DataFrame, hits: DataFrame, question: str, model_answer: str | None = None) -> str:
     """The whole answer; hits are few (search.answer's k), and so are the lines about each."""
+    hits = settled(hits, "hits")
     n = classes.count()
     files = properties.where("key is not null").select("repo", "file").distinct().count()
     searched = f"{n} classes and {files} config files" if files else f"{n} classes"

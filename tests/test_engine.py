@@ -44,6 +44,11 @@ def model(spark, tree):
     return build_model(spark, str(tree))
 
 
+@pytest.fixture(scope="module")
+def index(model):
+    return search.build_index(model.classes, model.properties)
+
+
 def test_classes(model):
     rows = {r.name: r for r in model.classes.collect()}
     assert {n: r.kind for n, r in rows.items()} == {"OwnerController": "controller", "OwnerService": "service", "OwnerRepository": "repository", "Owner": "entity"}
@@ -91,8 +96,8 @@ def test_cycles_of_parents_and_modules(spark):
     assert {(r.path, r.depth) for r in builds.module_closure(found, "a/pom.xml").collect()} == {("a/pom.xml", 0), ("b/pom.xml", 1), ("c/pom.xml", 1)}
 
 
-def test_answers(spark, model):
-    best = lambda q, **more: [(r.type, r.name) for r in search.answer(spark, model.classes, model.properties, q, **more).orderBy("rank").collect()]
+def test_answers(spark, model, index):
+    best = lambda q, **more: [(r.type, r.name) for r in search.answer(spark, model.classes, model.properties, q, index=index, **more).orderBy("rank").collect()]
     assert best("where is the database?", only="class")[0] == ("class", "OwnerRepository")
     assert best("where is the database?")[0] == ("config", "")  # its summary names the database
     assert best("what does OwnerService do")[0] == ("class", "OwnerService")
@@ -165,9 +170,9 @@ def test_hostile_names_are_shown_as_they_are(spark, model):
     assert "\\= a \\- b &lt;b&gt;" in page
 
 
-def test_answers_tell_settings_and_neighbours(spark, model):
+def test_answers_tell_settings_and_neighbours(spark, model, index):
     def told(question):
-        hits = search.answer(spark, model.classes, model.properties, question)
+        hits = search.answer(spark, model.classes, model.properties, question, index=index)
         return answers.answer_text(model.classes, model.properties, hits, question)
 
     text = told("which gateway routes are there")
@@ -180,9 +185,9 @@ def test_answers_tell_settings_and_neighbours(spark, model):
     assert "   Endpoints: GET /owners/{id} -> find(), " in text and "   Depends on: OwnerService" in text and "   Used by: (no other class of this repository)" in text
     assert "   Reads config: owner.limit, owner.missing" in text and "   Matched: " in text
     assert "Nothing matched (4 classes and 2 config files searched)" in told("zebra quantum")
-    only = lambda what: {r.type for r in search.answer(spark, model.classes, model.properties, "owner owners server port", k=None, only=what).collect()}
+    only = lambda what: {r.type for r in search.answer(spark, model.classes, model.properties, "owner owners server port", k=None, only=what, index=index).collect()}
     assert only("class") == {"class"} and only(None) == {"class", "config"}
-    assert search.answer(spark, model.classes, model.properties, "owner", k=0).count() == 0
+    assert search.answer(spark, model.classes, model.properties, "owner", k=0, index=index).count() == 0
 
 
 def test_prompts_and_an_injected_client(spark, model, tree, capsys):
