@@ -177,3 +177,28 @@ def test_orc_files(docs, odd, none, spark, tmp_path, tok):
     assert [r.start for r in got] == [sum(x.n_tokens for x in got[:i]) for i in range(len(got))]
     schema = orc_ids.write_token_ids(none, f"file://{tmp_path}/none", TOKENIZER, P.PATTERN)
     assert orc_ids.token_id_digests(orc_ids.read_token_ids(spark, f"file://{tmp_path}/none", schema)).count() == 0
+
+
+def test_orc_indexes_bloom_filters_and_encoding(docs, spark, tmp_path):
+    """What the files hold, read by the ORC library itself: row indexes, a Bloom filter of document ids, run-length encoded integers."""
+    orc_ids.write_token_ids(docs, f"file://{tmp_path}/ids", TOKENIZER, P.PATTERN, partitions=2)
+    jvm, gateway = spark._jvm, spark.sparkContext._gateway
+    seen = set()
+    for file in sorted((tmp_path / "ids").glob("*.orc")):
+        reader = jvm.org.apache.orc.OrcFile.createReader(jvm.org.apache.hadoop.fs.Path(str(file)), jvm.org.apache.orc.OrcFile.readerOptions(spark._jsc.hadoopConfiguration()))
+        assert reader.getRowIndexStride() == 1000 and reader.getCompressionKind().toString() == "ZSTD"
+        names = [*reader.getSchema().getFieldNames()]
+        column = names.index("doc_id") + 1
+        wanted = gateway.new_array(jvm.boolean, reader.getSchema().getMaximumId() + 1)
+        wanted[column] = True
+        rows = reader.rows()
+        for i, stripe in enumerate(reader.getStripes()):
+            assert stripe.getDataLength() <= 16 << 20 and stripe.getIndexLength() > 0
+            index = rows.readRowIndex(i, None, wanted)
+            bloom = index.getBloomFilterIndex()[column]
+            assert bloom.getBloomFilterCount() == index.getRowGroupIndex()[column].getEntryCount() >= 1
+            kinds = [c.getKind().toString() for c in rows.readStripeFooter(stripe).getColumnsList()]
+            assert kinds[column] == kinds[names.index("ids") + 2] == "DIRECT_V2"
+            seen.add(file.name)
+        rows.close()
+    assert len(seen) == 2
