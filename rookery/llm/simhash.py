@@ -23,7 +23,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -35,9 +35,10 @@ HOT = 48
 PLANES = [c for c in combinations(range(8), 4) if c[0] ^ c[1] ^ c[2] ^ c[3] == 0]
 #: Planes that miss any two, one or none of the positions: postings that fingerprints share at least, by the bits they differ in.
 GUARANTEED = {2: 3, 1: 7, 0: 14}
-#: Projections of the wide fingerprint, bytes of a posting, postings; members of a posting list compared pair by pair, pivots of longer ones.
-WIDE, BYTES, KEYS, CROWD, PIVOTS = 2048, 3, 80, 24, 4
-#: The last 16 bytes are in no posting: shared bytes at least (a pair at 0.8 shares 4.3 of them), differing bits at most (19 at 0.8, 64 of strangers).
+#: Projections of the wide fingerprint, bytes of a posting, postings; members of a posting list compared pair by pair, postings whose longer lists
+#: have pivots, pivots of such a list, pivots that a member is compared with.
+WIDE, BYTES, KEYS, CROWD, STARS, PIVOTS, NEAREST = 2048, 3, 64, 24, 20, 4, 3
+#: 16 of the bytes after those in postings: shared bytes at least (a pair at 0.8 shares 4.3 of them), differing bits at most (19 at 0.8, 64 of strangers).
 SHARED, APART = 1, 40
 
 
@@ -147,16 +148,16 @@ def _indexed(rows: DataFrame) -> DataFrame:
     def hashed(batches):
         for batch in batches:
             texts = batch.column("text")
-            for a in range(0, len(texts), 256):
-                words = [_sequence(t) for t in texts.slice(a, 256).to_pylist()]
+            for a in range(0, len(texts), 64):
+                words = [_sequence(t) for t in texts.slice(a, 64).to_pylist()]
                 whole = np.frombuffer(b"".join(xxhash.xxh3_128_digest(b" ".join(w)) for w in words), "<i8").reshape(-1, 2)
                 pairs = [similar.word_hashes(w) if len(w) < 2 else similar.shingle_hashes(similar.word_hashes(w), 2) for w in words]
                 prints = wide_fingerprints(pairs).astype(np.int64)
                 keys = np.zeros((len(words), KEYS), np.int64) + (np.arange(KEYS) << 8 * BYTES)
                 for n in range(BYTES):
                     keys += prints[:, _PLACES[:, n]] << 8 * n
-                rest = np.ascontiguousarray(prints[:, BYTES * KEYS :].astype(np.uint8)).view("<i8")
-                held = batch.slice(a, 256)
+                rest = np.ascontiguousarray(prints[:, BYTES * KEYS : BYTES * KEYS + 16].astype(np.uint8)).view("<i8")
+                held = batch.slice(a, 64)
                 yield pa.RecordBatch.from_arrays(
                     [held.column("doc_id"), held.column("text_hash"), pa.array(whole[:, 0]), pa.array(whole[:, 1]), pa.FixedSizeListArray.from_arrays(pa.array(keys.ravel()), KEYS).cast(pa.list_(pa.int64())), pa.array(rest[:, 0]), pa.array(rest[:, 1])],
                     ["doc_id", "text_hash", "w1", "w2", "keys", "s1", "s2"],
@@ -165,44 +166,51 @@ def _indexed(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(hashed, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text_hash long, w1 long, w2 long, keys array<long>, s1 long, s2 long")
 
 
-def _filtered(pairs: DataFrame) -> DataFrame:
-    """Pairs (src, dst) whose remaining bytes (a1, a2, b1, b2) agree well enough."""
+def _differing() -> Column:
+    """Differing bits of the remaining bytes (a1, a2 and b1, b2); null if they agree too little."""
     differ = [F.expr("a1 ^ b1"), F.expr("a2 ^ b2")]
     shared = sum((F.shiftrightunsigned(x, 8 * i).bitwiseAND(F.lit(0xFF)) == 0).cast("int") for x in differ for i in range(8))
-    return pairs.where((F.bit_count(differ[0]) + F.bit_count(differ[1]) <= APART) & (shared >= SHARED)).select("src", "dst").distinct()
+    bits = F.bit_count(differ[0]) + F.bit_count(differ[1])
+    return F.when((bits <= APART) & (shared >= SHARED), bits)
 
 
 def _document_links(nodes: DataFrame, texts_of, similarity: float) -> DataFrame:
-    """(node, root) of nodes (node, keys, s1, s2) that links connect; texts_of(nodes) gives their (node, text)."""
+    """(node, root) of nodes (node, keys, s1, s2) that links connect; texts_of(nodes) gives their (node, text).
+
+    Members of a list of more than CROWD are crowded. Each is compared with the NEAREST, by the remaining bytes, of the pivots of some of
+    its lists; crowded ones that are then still apart are joined exactly. All other pairs of a list are compared as they are.
+    """
     postings = nodes.select(F.explode("keys").alias("key"), "node")
-    sizes = postings.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    listed = cut(postings.join(sizes, "key"), "postings")
-    held = listed.join(nodes.select("node", "s1", "s2"), "node")
-    one = lambda df, *more: df.select("key", F.col("node").alias("src"), F.col("s1").alias("a1"), F.col("s2").alias("a2"), *more)
-    two = lambda df: df.select("key", F.col("node").alias("dst"), F.col("s1").alias("b1"), F.col("s2").alias("b2"))
-    small = held.where(F.col("n") <= CROWD)
-    pairs = one(small).join(two(small), "key").where("src < dst")
-    crowd = held.where(F.col("n") > CROWD)
+    sizes = cut(postings.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "sizes")
+    long = cut(sizes.where(F.col("n") > CROWD).select("key"), "long")
+    crowd = cut(postings.join(long, "key", "left_semi"), "crowd")
+    crowded = cut(crowd.select("node").distinct(), "crowded")
+    marks = nodes.select("node", "s1", "s2").join(crowded.withColumn("crowd", F.lit(True)), "node", "left").withColumn("crowd", F.col("crowd").isNotNull())
+    small = cut(postings.join(sizes.where(F.col("n") <= CROWD).select("key"), "key"), "small").join(marks, "node")
+    one = small.select("key", F.col("node").alias("src"), F.col("s1").alias("a1"), F.col("s2").alias("a2"), F.col("crowd").alias("c1"))
+    two = small.select("key", F.col("node").alias("dst"), F.col("s1").alias("b1"), F.col("s2").alias("b2"), F.col("crowd").alias("c2"))
+    pairs = one.join(two, "key").where("src < dst and not (c1 and c2)").where(_differing().isNotNull()).select("src", "dst").distinct()
+    crowd = crowd.where(F.shiftright("key", 8 * BYTES) < STARS).join(nodes.select("node", "s1", "s2"), "node")
     pivots = crowd.groupBy("key").agg(F.array_distinct(F.array(*(F.min_by(F.struct("node", "s1", "s2"), F.xxhash64("node", F.lit(i))) for i in range(PIVOTS)))).alias("pivots"))
-    stars = crowd.join(pivots, "key").select("key", F.col("node").alias("src"), F.col("s1").alias("a1"), F.col("s2").alias("a2"), F.explode("pivots").alias("p")).select("key", "src", "a1", "a2", F.col("p.node").alias("dst"), F.col("p.s1").alias("b1"), F.col("p.s2").alias("b2")).where("src <> dst")
-    near = cut(_filtered(pairs).union(_filtered(stars)), "near")
-    crowded = listed.where(F.col("n") > CROWD).select("node").distinct()
+    stars = crowd.join(pivots, "key").select(F.col("node").alias("src"), F.col("s1").alias("a1"), F.col("s2").alias("a2"), F.explode("pivots").alias("p")).select("src", "a1", "a2", F.col("p.node").alias("dst"), F.col("p.s1").alias("b1"), F.col("p.s2").alias("b2")).where("src <> dst")
+    ranked = stars.select("src", "dst", _differing().alias("bits")).where("bits is not null").groupBy("src").agg(F.array_sort(F.collect_set(F.struct("bits", "dst"))).alias("best"))  # at most PIVOTS a list
+    nearest = ranked.select("src", F.explode(F.slice("best", 1, NEAREST)).alias("b")).select(F.least("src", "b.dst").alias("src"), F.greatest("src", "b.dst").alias("dst"))
+    near = cut(pairs.union(nearest.distinct()), "near")
     texts = cut(texts_of(near.select(F.col("src").alias("node")).union(near.select(F.col("dst").alias("node"))).union(crowded).distinct()), "texts")
-    links = cut(similar.verified(near.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")), texts, similarity), "links")
+    links = cut(similar.verified(near, texts, similarity), "links")
     roots = cut(connected_components(links), "roots")
     lines = cut(crowded.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root")).join(texts, "node"), "crowd")
-    drop(listed)
     if lines.isEmpty():
         return roots
-    return connected_components(links.union(similar.verified(similar.similar_apart(lines, similarity), texts, similarity)))
+    return connected_components(similar.links_apart(lines, links, texts, similarity))
 
 
 def similar_documents(docs: DataFrame, similarity: float = similar.SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text_hash, head_id, head_hash for every row: the least (id, hash of the text) that links reach, the row's own included.
 
     Words are split at ASCII white space and A-Z are lower-cased. Texts of the same words are linked, and texts of five words or more
-    whose sets of five-word shingles have that Jaccard similarity; each such pair shares a posting with a probability of 0.999 at 0.8 for
-    scattered changes and 0.83 for one inserted block, of 0.98 for a block at 0.9, and members of crowded postings are joined exactly.
+    whose sets of five-word shingles have that Jaccard similarity; each such pair shares a posting with a probability of 0.998 at 0.8 for
+    scattered changes and 0.75 for one inserted block, of 0.99 for a block at 0.9, and members of crowded postings are joined exactly.
     Null, empty and wordless texts have the same words. A null id is an id like any other here, and the least. Repeated rows give
     repeated rows. An empty table gives no rows. Copies are collapsed first, so groups of copies cost nothing more.
     """

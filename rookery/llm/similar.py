@@ -13,13 +13,16 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from rookery.llm.common import cut
 from rookery.llm.components import connected_components
 
 SHINGLE, SIMILARITY = 5, 0.8
-#: Buckets that count shingles; side of a cell of comparisons.
-BUCKETS, BLOCK = 1 << 18, 1024
+#: Buckets that count shingles; side of a cell of comparisons; pivots of a rare shingle, and of them those that a line is compared with.
+BUCKETS, BLOCK, PIVOTS, CLOSEST = 1 << 18, 1024, 3, 64
+#: Words whose hashes a worker remembers: about 25 MB.
+REMEMBERED = 1 << 17
 ODD = np.random.default_rng(7).integers(1 << 62, (1 << 63) - 1, 128, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _WORDS: dict = {}
 
@@ -31,7 +34,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 def word_hashes(words: list) -> np.ndarray:
     """Of strings or of bytes; a bounded number of words is remembered."""
-    if len(_WORDS) > 500_000:
+    if len(_WORDS) > REMEMBERED:
         _WORDS.clear()
     new = set(words).difference(_WORDS)
     _WORDS.update((w, xxhash.xxh64_intdigest(w)) for w in new)
@@ -106,38 +109,53 @@ def _prefixes(lines: DataFrame, similarity: float) -> DataFrame:
     return lines.select("node", "text", "root").mapInArrow(cut_short, f"token long, at int, size int, short boolean, node {kind}, root {kind}")
 
 
-def similar_apart(lines: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) with their roots (r, s) of (node, text, root) with different roots: all at least that similar, and some that are not; tally: rare shingles that they share.
+def _mixed_tokens(listed: DataFrame) -> DataFrame:
+    """token, n of those that stand for lines of different roots and, for one of them, among the first."""
+    return listed.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.max("short").alias("some"), F.min("root").alias("one"), F.max("root").alias("other")).where("some and n > 1 and one <> other").select("token", "n")
+
+
+def _fits(similarity: float) -> str:
+    """Whether two lines' sizes, and what both have left from the place of a shared shingle on, allow the similarity."""
+    share = similarity / (1 + similarity)
+    return f"least(size, size2) >= {similarity}D * greatest(size, size2) - 1e-9D and least(size - at, size2 - at2) >= {share}D * (size + size2) - 1e-9D"
+
+
+def _nearest_pivots(listed: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (src, dst) of each line and the CLOSEST, by shared rare shingles, of a few pivots of each of those: no more rows than listed has, times PIVOTS."""
+    held = listed.join(_mixed_tokens(listed).select("token"), "token")
+    # The earlier a line has the shingle, the fewer rarer ones of its own it has: it stands in the middle of its family.
+    least = lambda i: F.min_by(F.struct("node", "root", "size", "at"), F.struct("at", F.xxhash64("node", F.lit(i), "token")))
+    pivots = held.groupBy("token").agg(F.array_distinct(F.array(*(least(i) for i in range(PIVOTS)))).alias("pivots"))
+    stars = held.join(pivots, "token").select("node", "root", "size", "at", F.explode("pivots").alias("p")).select("node", "root", "size", "at", F.col("p.node").alias("node2"), F.col("p.root").alias("root2"), F.col("p.size").alias("size2"), F.col("p.at").alias("at2"))
+    tallied = stars.where("root <> root2").where(_fits(similarity)).groupBy("node", "node2").agg(F.count(F.lit(1)).alias("tally"))
+    rank = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("tally"), "node2"))
+    near = tallied.withColumn("rank", rank).where(F.col("rank") <= CLOSEST)
+    return near.select(F.least("node", "node2").alias("src"), F.greatest("node", "node2").alias("dst"))
+
+
+def _pairs_apart(listed: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (src, dst) of different roots: all at least that similar, and some that are not.
 
     Similar sets share one of their rarest members, and from the first shared one on both have enough left (prefix and position filter).
     The members under one shingle are compared in cells of BLOCK by BLOCK.
     """
-    listed = cut(_prefixes(lines, similarity), "prefixes")
-    sizes = listed.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.max("short").alias("some"), F.min("root").alias("one"), F.max("root").alias("other")).where("some and n > 1 and one <> other")
-    parts = cut(listed.join(sizes.select("token", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts")), "token").withColumn("part", F.pmod(F.xxhash64("node"), "parts")), "parts")
+    sizes = _mixed_tokens(listed).select("token", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"))
+    parts = cut(listed.join(sizes, "token").withColumn("part", F.pmod(F.xxhash64("node"), "parts")), "parts")
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)).alias("other")
     one = parts.where("short").select("token", "at", "size", F.col("node").alias("a"), F.col("root").alias("r"), F.col("part"), every)
     two = parts.select("token", F.col("at").alias("at2"), F.col("size").alias("size2"), F.col("node").alias("b"), F.col("root").alias("s"), F.col("part").alias("other"), every.alias("part"))
-    share = similarity / (1 + similarity)
-    near = f"r <> s and (size < size2 or size = size2 and a < b) and size >= {similarity}D * size2 - 1e-9D and least(size - at, size2 - at2) >= {share}D * (size + size2) - 1e-9D"
-    return one.join(two, ["token", "part", "other"]).where(near).groupBy("a", "b", "r", "s").agg(F.count(F.lit(1)).alias("tally"))
+    near = f"r <> s and (size < size2 or size = size2 and a < b) and {_fits(similarity)}"
+    return one.join(two, ["token", "part", "other"]).where(near).select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"))
 
 
 def links_apart(lines: DataFrame, links: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """links (src, dst), and the links between lines (node, text, root; root: of the components of links) that connect components.
+    """links (src, dst), and links between lines (node, text, root; root: of the components of links) so that all that any pairs link is connected.
 
-    Of each line and each larger component only the pair that shares most is verified at first, since one link joins the two; what is
-    still apart then is verified pair by pair, so no link between components is lost.
+    One link joins a line to a component, so each line is first compared with a bounded number of others that share its rare shingles.
+    What is still apart then is joined exactly: no link between components is lost.
     """
-    found = cut(similar_apart(lines, similarity), "apart")
-    sizes = lines.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
-    both = found.join(sizes.select(F.col("root").alias("r"), F.col("n").alias("nr")), "r").join(sizes.select(F.col("root").alias("s"), F.col("n").alias("ns")), "s")
-    up = F.expr("nr < ns or nr = ns and r < s")
-    turned = both.select(F.when(up, F.struct(F.col("a").alias("one"), F.col("b").alias("two"), F.col("s").alias("root"))).otherwise(F.struct(F.col("b").alias("one"), F.col("a").alias("two"), F.col("r").alias("root"))).alias("p"), "tally")
-    best = turned.groupBy("p.one", "p.root").agg(F.max(F.struct("tally", "p.two"))["two"].alias("two"))
-    ordered = lambda df, a, b: df.select(F.least(a, b).alias("src"), F.greatest(a, b).alias("dst"))
-    more = cut(links.union(verified(ordered(best, "one", "two"), texts, similarity)), "more_links")
+    listed = cut(_prefixes(lines, similarity), "prefixes")
+    more = cut(links.union(verified(_nearest_pivots(listed, similarity), texts, similarity)), "more_links")
     roots = cut(connected_components(more), "roots")
-    of = lambda name, end: roots.select(F.col("node").alias(end), F.col("root").alias(name))
-    rest = found.select("a", "b").join(of("ra", "a"), "a", "left").join(of("rb", "b"), "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b"))
-    return more.union(verified(ordered(rest, "a", "b"), texts, similarity))
+    placed = cut(listed.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "placed")
+    return more.union(verified(_pairs_apart(placed, similarity), texts, similarity))
