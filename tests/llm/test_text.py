@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from rookery.llm import line_dedup, quality, secret_scan, substring_dedup
+from rookery.llm import line_dedup, quality, secret_scan, similar, substring_dedup
 from rookery.llm.queries import QUERIES
 
 
@@ -363,6 +363,46 @@ def test_paragraphs_equal_brute_force(spark, sf, texts):
     assert got <= want and len(got) >= 0.97 * len(want) and want
 
 
+def slow_blocks(found):
+    """(first word, end) of the blocks of a list of words, boundary by boundary."""
+    big, n = 1 << 64, len(found)
+    h = [xxhash.xxh64_intdigest(w.encode()) for w in found]
+    one, two = int(similar.ODD[0]), int(similar.ODD[1])
+
+    def mixed(x):
+        x = ((x ^ (x >> 32)) * 0xD6E8FEB86659FD93) % big
+        return x ^ (x >> 29)
+
+    three = [mixed((h[i] + h[i + 1] * one + h[i + 2] * two) % big) for i in range(n - 2)]
+    least = sorted({i for a in range(len(three) - 19) for i in range(a, a + 20) if three[i] == min(three[a : a + 20])}) if n > 22 else []
+    edges = [0, *(i for k, i in enumerate(least) if i and (not k or i - least[k - 1] >= 4)), n]
+    return [(a, b) for a, b in zip(edges, edges[1:], strict=False) if b > a]
+
+
+def test_blocks_equal_brute_force(spark, sf, texts):
+    """Every block but the first of its words goes, where those that stand together have 16 words or more."""
+    got = {(r.doc_id, r.start, r.end, r.n_words, r.kept_doc_id) for r in QUERIES["op10_substring_dedup"](spark, sf).where("kind = 'block'").collect()}
+    split = {i: [(m.group().lower(), *m.span()) for m in re.finditer(r"\S+", texts[i])] for i in sorted(texts)}
+    first, blocks = {}, {}
+    for i, found in split.items():
+        blocks[i] = slow_blocks([w for w, _, _ in found])
+        for a, b in blocks[i]:
+            first.setdefault(tuple(w for w, _, _ in found[a:b]), (i, a))
+    want = set()
+    for i, found in split.items():
+        runs = []
+        for a, b in blocks[i]:
+            kept = first[tuple(w for w, _, _ in found[a:b])]
+            if kept == (i, a):
+                continue
+            if runs and runs[-1][1] == a:
+                runs[-1][1] = b
+            else:
+                runs.append([a, b, kept[0]])
+        want |= {(i, found[a][1], found[b - 1][2], b - a, kept) for a, b, kept in runs if b - a >= 16}
+    assert got == want and len(want) > 10
+
+
 def test_wrapped_paragraphs(spark):
     """Near copies of a passage of short lines, between longer ones, are one paragraph each."""
     dice = random.Random(12)
