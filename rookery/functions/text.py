@@ -51,8 +51,11 @@ def norm_key(key: Column) -> Column:
     return F.regexp_replace(F.lower(key), "[-_]", "")
 
 
+CONTROLS = r"[\x00-\x1f\x7f-\x9f]+"
+
+
 def strip_controls(text: Column) -> Column:
-    return F.regexp_replace(text, r"[\x00-\x1f\x7f-\x9f]+", " ")
+    return F.regexp_replace(text, CONTROLS, " ")
 
 
 def truncate(text: Column, most: int = 300) -> Column:

@@ -306,7 +306,7 @@ def yaml_flatten(t):
     """Documents, lists, maps, numbers of YAML 1.2, anchors and merges; a document in error goes, those after it stay."""
     k = F.col("c_custkey").cast("string")
     body = _text("name: ", k, '\nlist: [a, {k: "', k, '"}]\nempty: {}\nnone: ~\non: yes\noct: 0o14\nwhole: 1e3\npart: .5\n---\nbase: &b {x: 1}\nmore:\n  <<: *b\n  y: "', k, '\\x20two"\n---\n: : [\n---\nafter: error\n')
-    files = t("customer").select(F.lit("r").alias("repo"), F.concat(k, F.lit("/application.yml")).alias("path"), F.lit("application.yml").alias("name"), F.length(body).alias("size"), body.alias("text"))
+    files = _dealt(t("customer"), "c_custkey").select(F.lit("r").alias("repo"), F.concat(k, F.lit("/application.yml")).alias("path"), F.lit("application.yml").alias("name"), F.length(body).alias("size"), body.alias("text"))
     return settings.config_properties(files).select(F.substring_index("file", "/", 1).cast("long").alias("c_custkey"), "doc_idx", "key", "value")
 
 

@@ -322,6 +322,28 @@ def test_values_are_redacted_once(spark, tmp_path):
     assert column(spark, redact.redact_text, ["", None, "x"]) == ["", None, "x"]
 
 
+def test_yaml_by_libyaml(spark, tmp_path):
+    """libyaml reads what it reads as the loader in Python does; all else stays in Python. One row group is no one task."""
+    import yaml
+
+    from rookery.queries import QUERIES
+
+    spark.range(200).select(F.col("id").alias("c_custkey")).coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    assert QUERIES["yaml_flatten"](spark, str(tmp_path)).select(F.spark_partition_id()).distinct().count() > 1
+    texts = ["a: &x {k: 1, l: [1e3, 0o14, .5]}\nb:\n  <<: *x\n  m: \"\\x20t\"\n  n: >-\n    c\n    d\n", "a: b: c", "? x\n: - y\n  - ~", "{a: 1, b: }", "k: *none", "a: &b 1\nc: &b 2"]
+    for text_ in texts:
+        assert settings.plain(text_)
+        try:
+            want = [settings.flatten(v) for v in yaml.load_all(text_, Loader=settings.core_loader())], None
+        except yaml.YAMLError as problem:
+            want = [], str(problem)
+        got = settings.load_yaml(text_)
+        assert (got[0], got[1] and str(got[1])) == want
+    deep = "[" * 100_000
+    assert not any(map(settings.plain, [deep, "- " * 40, "a:\tb", "a: !t b", "%YAML 1.2\n---\na", "\n|#", "a: é", "*" * (settings.ALIASES + 1)]))
+    assert settings.parse_yaml(deep)[1]
+
+
 def test_words_versions_and_paths(spark):
     assert column(spark, text.tokenize, ["getHTTPResponse2 userRepositories handled classes x1y", None])[0] == ["http", "respons", "user", "repository", "handl"]
     assert column(spark, text.stem, ["stories", "classes", "users", "status", "running", "saved", "store"]) == ["story", "class", "user", "status", "runn", "sav", "stor"]
