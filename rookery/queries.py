@@ -17,6 +17,7 @@ from rookery.plans import report
 from rookery.session import configured
 from rookery.sources import java, settings
 from rookery.sources.tree import is_source_path
+from rookery.tables import settled
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -332,7 +333,7 @@ def _details(t):
     k = F.col("c_custkey").cast("string")
     lines = ["spring.profiles.active[0]=a", "spring.profiles.active[1]=b", "spring.profiles.include=c", "spring.r2dbc.url=r2dbc:pool:x", "spring.kafka.bootstrap-servers[0]=h1:1", "spring.KAFKA.bootstrapServers[1]=h2:2", "spring.data.mongodb.uri[0]=mongodb://m1", "spring.data.mongodb.uri[1]=m2", "spring.elasticsearch.uris=", "spring.datasource.one.jdbc-url=jdbc:h2:mem:t;X=1", "spring.datasource.url=jdbc:mysql://[::1]:1,${H:a,b}:2/x", "spring.cloud.gateway.default-filters[0]=A=1", "spring.cloud.gateway.mvc.default-filters[0].name=B", "spring.cloud.gateway.mvc.default-filters[0].args._genkey_0=x", "spring.cloud.gateway.mvc.default-filters[1]=AddRequestHeader=X-Token, v", "spring.cloud.gateway.discovery.locator.enabled=true", "spring.config.import[0]=optional:file:x", "spring.config.import[1]=", "spring.cloud.config.uri=http://c", "spring.cloud.config.server.git.uri=http://g", "spring.cloud.config.server.git.search-locations=", "spring.cloud.config.server.git.default-label=main", "spring.cloud.config.server.git.timeout=1"]
     body = _text("server.port=", k, "\n", "\n".join(lines))
-    files = t("customer").select(F.lit("r").alias("repo"), F.concat(k, F.lit("/application.properties")).alias("path"), F.lit("application.properties").alias("name"), F.length(body).alias("size"), body.alias("text"))
+    files = _dealt(t("customer"), "c_custkey").select(F.lit("r").alias("repo"), F.concat(k, F.lit("/application.properties")).alias("path"), F.lit("application.properties").alias("name"), F.length(body).alias("size"), body.alias("text"))
     return settings.config_properties(files)
 
 
@@ -341,7 +342,7 @@ def _details(t):
  ('backend', 1, 'h2 mem:t spring.datasource.one.jdbc-url'), ('backend', 2, 'mysql [::1]:1, ${H:a,b}:2 spring.datasource.url'), ('backend', 3, 'r2dbc pool:x spring.r2dbc.url'), ('backend', 4, 'mongodb m1,m2 spring.data.mongodb.uri'), ('backend', 5, 'kafka h1:1,h2:2 spring.kafka.bootstrap-servers')) v(what, place, text)""")
 def config_details(t):
     """Profiles, imports, server settings, the filters of two lists, and backends whose lists mix spellings, each in its order."""
-    rows = _details(t)
+    rows = settled(_details(t), "details")
     parts = [
         ("profile", say.profile_settings(rows), ["ord"], F.concat_ws("=", "key", "value")),
         ("locator", say.scalars(rows).where("discovery_locator is not null"), ["file"], F.col("discovery_locator")),

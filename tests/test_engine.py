@@ -322,6 +322,20 @@ def test_values_are_redacted_once(spark, tmp_path):
     assert column(spark, redact.redact_text, ["", None, "x"]) == ["", None, "x"]
 
 
+def test_details_parse_each_file_once(spark, tmp_path):
+    """The properties are settled before six relations read them; rows leave the parser in parts, keys of any script are folded."""
+    from rookery.queries import QUERIES
+
+    spark.range(200).select(F.col("id").alias("c_custkey")).coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    found = QUERIES["config_details"](spark, str(tmp_path))
+    assert "MapIn" not in found._jdf.queryExecution().optimizedPlan().toString() and found.count() == 200 * 16
+    body = "".join(f"k{i}={i}\n" for i in range(settings.PROPERTIES - 1)) + "\uff50\uff41\uff53\uff53\u0001=x"
+    files = spark.createDataFrame([(f"{i}/application.properties", body) for i in range(settings.ROWS // settings.PROPERTIES + 1)], "path string, text string").coalesce(1)
+    rows = settings.config_properties(files.selectExpr("'r' as repo", "path", "'application.properties' as name", "length(text) as size", "text"))
+    got = {(r.n, r.top, r.hidden) for r in rows.groupBy("file").agg(F.count("*").alias("n"), F.max("ord").alias("top"), F.max_by("value", "ord").alias("hidden")).collect()}
+    assert got == {(settings.PROPERTIES, settings.PROPERTIES - 1, redact.REDACTED)}
+
+
 def test_yaml_by_libyaml(spark, tmp_path):
     """libyaml reads what it reads as the loader in Python does; all else stays in Python. One row group is no one task."""
     import yaml
